@@ -1,6 +1,7 @@
 """Operator 9: toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-A sentence's probability is logistic in the set of its folded words; a document's is the noisy-or of its sentences,
+A sentence's probability is logistic in the features of its distinct folded words (a word and its prefixes, for insults
+are also inflected and joined to other words); a document's is the noisy-or of its sentences,
 1 - prod(1 - p). Only documents are labelled: the gradient of the document likelihood shares the blame among the
 sentences in proportion to p. The trained weights then score and locate sentences.
 
@@ -11,6 +12,7 @@ one document count once (its greatest); repeated rows give repeated results.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,8 +36,13 @@ def words(sentence: str) -> set[str]:
     return {w for x in sentence.lower().split() if (w := x.strip(_EDGE))}
 
 
-def train(rows: list[tuple[str, int]], *, least: int = 4, epochs: int = 60, rate: float = 0.3, l2: float = 2e-3, bias: float = -6.0) -> tuple[dict[str, float], float]:
-    """Weights of words and the bias, from (text, 0 or 1) rows; words in fewer than ``least`` documents are left out."""
+def features(word: str) -> list[str]:
+    """The word and its prefixes of three to seven characters, marked as such."""
+    return [word, *(word[:n] + "-" for n in range(3, min(7, len(word)) + 1))]
+
+
+def train(rows: list[tuple[str, int]], *, least: int = 5, epochs: int = 80, rate: float = 0.3, l2: float = 2e-3, bias: float = -6.0) -> tuple[dict[str, float], float]:
+    """Weights of features and the bias, from (text, 0 or 1) rows; features in fewer than ``least`` documents are left out."""
     rows = sorted(rows)
     labels = np.array([y for _, y in rows], dtype=float)
     if not len(rows) or labels.min() == labels.max():
@@ -43,13 +50,13 @@ def train(rows: list[tuple[str, int]], *, least: int = 4, epochs: int = 60, rate
     bags = [[words(s) for s in sentences(t)] for t, _ in rows]
     seen: dict[str, int] = {}
     for bag in bags:
-        for w in set().union(*bag):
-            seen[w] = seen.get(w, 0) + 1
+        for f in {f for w in set().union(*bag) for f in features(w)}:
+            seen[f] = seen.get(f, 0) + 1
     index = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= least))}
     word, sent, owner = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
-            found = [index[w] for w in s if w in index]
+            found = [index[f] for w in s for f in features(w) if f in index]
             word += found
             sent += [len(owner)] * len(found)
             owner.append(d)
@@ -73,10 +80,28 @@ def train(rows: list[tuple[str, int]], *, least: int = 4, epochs: int = 60, rate
     return {w: float(weights[i]) for w, i in index.items() if abs(weights[i]) > 1e-3}, float(b)
 
 
+def word_score(word: str, weights: dict[str, float]) -> float:
+    return sum(weights.get(f, 0.0) for f in features(word))
+
+
+class WordScores(dict):
+    """Scores of words, with a bound on what is remembered."""
+
+    def __init__(self, weights: dict[str, float], bound: int = 500_000):
+        super().__init__()
+        self.weights, self.bound = weights, bound
+
+    def __missing__(self, word: str) -> float:
+        value = word_score(word, self.weights)
+        if len(self) < self.bound:
+            self[word] = value
+        return value
+
+
 def sentence_scores(text: str | None, weights: dict[str, float], bias: float) -> list[tuple[str, float]]:
     """Sentences with their probabilities: where a document offends."""
     found = sentences(text)
-    return [(s, float(1 / (1 + np.exp(-np.clip(bias + sum(weights.get(w, 0.0) for w in words(s)), -30, 30))))) for s in found]
+    return [(s, float(1 / (1 + np.exp(-np.clip(bias + sum(word_score(w, weights) for w in sorted(words(s))), -30, 30))))) for s in found]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[str, int]]:
@@ -95,23 +120,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, thres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shipped.value
-        base = float(np.log1p(-1 / (1 + np.exp(-bias))))
-        get = weights.get
+        scored = WordScores(weights)
         for part in text_slices(batches):
             scores, worst = [], []
             for text in part.column("text").to_pylist():
-                log_none, top, which = 0.0, bias, None
-                for s in sentences(text):
-                    found = words(s) & weights.keys() if weights else ()
-                    if found:
-                        z = bias + sum(map(get, sorted(found)))
-                        log_none -= float(np.logaddexp(0.0, z))
-                        if z > top:
-                            top, which = z, s
-                    else:
-                        log_none += base
-                scores.append(float(-np.expm1(log_none)))
-                worst.append(which if scores[-1] >= threshold else None)
+                found = sentences(text)
+                z = np.array([bias + math.fsum(map(scored.__getitem__, words(s))) for s in found])
+                scores.append(float(-np.expm1(-np.logaddexp(0.0, z).sum())))
+                worst.append(found[int(z.argmax())] if scores[-1] >= threshold else None)
             yield pa.record_batch([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(worst, pa.string())], names=["doc_id", "score", "worst"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, worst string")
