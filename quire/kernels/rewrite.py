@@ -458,6 +458,12 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
     tree: dict = {"Type": Name("Pages"), "Kids": [], "Count": 0}
     catalog: dict = {"Type": Name("Catalog"), "Pages": Ref(2)}
     objects[1], objects[2] = catalog, tree
+
+    def fresh(value=None) -> Ref:
+        num = len(objects) + 1
+        objects[num] = value
+        return Ref(num)
+
     outline_items: list[Ref] = []
     fields: list = []
     taken: set[str] = set()
@@ -472,7 +478,6 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
         if not all(0 <= p < len(found) for p in chosen):
             raise ValueError("no such page")
         targets = Targets(doc)
-        base = max(objects)
         number: dict[int, int] = {}
         page_nums = {p["num"] for p in found}
         copies: dict[int, Ref] = {}  # page index -> its first copy
@@ -484,8 +489,7 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
                 if v.num in page_nums:
                     return copies.get(targets.page_of[v.num])
                 if v.num not in number:
-                    number[v.num] = max(max(objects), *number.values(), 0) + 1
-                    objects[number[v.num]] = None
+                    number[v.num] = fresh().num
                     todo.append(v.num)
                 return Ref(number[v.num])
             if isinstance(v, list):
@@ -508,8 +512,7 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
 
         order = []
         for p in chosen:
-            objects[max(objects) + 1] = None
-            ref = Ref(max(objects))
+            ref = fresh()
             copies.setdefault(p, ref)
             order.append((p, ref))
         for p, ref in order:
@@ -523,13 +526,13 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
             new = moved(f)
             if new is None:
                 continue
-            fresh, n = name, 2
-            while fresh in taken:
-                fresh, n = f"{name}_{n}", n + 1
-            if fresh is not None:
-                taken.add(fresh)
-            fields.append((new, fresh if fresh != name else None))
-            if fresh != name:
+            free, n = name, 2
+            while free in taken:
+                free, n = f"{name}_{n}", n + 1
+            if free is not None:
+                taken.add(free)
+            fields.append((new, free if free != name else None))
+            if free != name:
                 report["renamed_fields"] += 1
         oc = doc.dict(doc.catalog.get("OCProperties"))
         layers += [moved(x) for x in doc.list(oc.get("OCGs"))]
@@ -537,8 +540,8 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
         top = doc.dict(doc.catalog.get("Outlines"))
         if chosen:
             title = text_of(doc.get(doc.dict(doc.trailer.get("Info")).get("Title"))) or f"Document {i + 1}"
-            objects[max(objects) + 1] = item = {"Title": title, "Dest": [order[0][1], Name("Fit")]}
-            ref = Ref(max(objects))
+            item = {"Title": title, "Dest": [order[0][1], Name("Fit")]}
+            ref = fresh(item)
             outline_items.append(ref)
             first, seen, kids = top.get("First"), set(), []
             while isinstance(first, Ref) and first.num not in seen:
@@ -560,20 +563,18 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
         if "PageLabels" in doc.catalog:
             own = page_labels(doc, len(found))
             labels += [(len(tree["Kids"]) - len(order) + j, own[p]) for j, (p, _) in enumerate(order)]
-        del base
     tree["Count"] = len(tree["Kids"])
     if outline_items:
-        objects[max(objects) + 1] = {"Type": Name("Outlines"), "First": outline_items[0], "Last": outline_items[-1], "Count": len(outline_items)}
-        root = Ref(max(objects))
+        root = fresh({"Type": Name("Outlines"), "First": outline_items[0], "Last": outline_items[-1], "Count": len(outline_items)})
         catalog["Outlines"] = root
         for j, ref in enumerate(outline_items):
             objects[ref.num] |= {"Parent": root} | ({"Prev": outline_items[j - 1]} if j else {}) | ({"Next": outline_items[j + 1]} if j + 1 < len(outline_items) else {})
     if fields:
         kept = []
-        for v, fresh in fields:
-            if fresh is not None:
+        for v, renamed in fields:
+            if renamed is not None:
                 target = objects[v.num] if isinstance(v, Ref) else v
-                target["T"] = fresh
+                target["T"] = renamed
             kept.append(v)
         catalog["AcroForm"] = {"Fields": kept}
         report["fields"] = len(kept)

@@ -101,7 +101,7 @@ def merge(docs: DataFrame, *, by: list[str], order: str, pages_col: str | None =
     schema = T.StructType([*(docs.schema[k] for k in by), *T.StructType.fromDDL(_REPORT).fields])
     chosen = docs.select(*by, F.col(order).alias("__order"), "content", *([F.col(pages_col).alias("__pages")] if pages_col else []))
 
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):  # tables in Arrow
         from quire.kernels import rewrite as k
         from quire.kernels.document import Document, PdfError
 
