@@ -367,6 +367,15 @@ def extract_image(doc: Document, num: int) -> dict | None:
     w, h = integer(doc.get(s.dict.get("Width"))), integer(doc.get(s.dict.get("Height")))
     if codec in ("jpeg", "jpx"):
         return {"kind": codec, "data": data, "width": w, "height": h, "components": None}
+    if codec == "ccitt" and w and h:
+        from quire.kernels import ccitt
+
+        parms = doc.filters_of(s)[1]
+        p = parms[-1] if parms else {}
+        columns = integer(p.get("Columns", 1728)) or 1728
+        if columns == w and w * h <= 1 << 28:
+            data = ccitt.decode(data, k=integer(p.get("K", 0)) or 0, columns=columns, rows=h, black_is_1=p.get("BlackIs1") is True, align=p.get("EncodedByteAlign") is True, end_of_block=p.get("EndOfBlock") is not False)
+            codec = None
     if codec or not w or not h:
         return None
     bits = 1 if doc.get(s.dict.get("ImageMask")) is True else integer(doc.get(s.dict.get("BitsPerComponent"))) or 8

@@ -326,3 +326,46 @@ def test_functions():
     for source, want in programs.items():
         assert function.load(d, Stream({"FunctionType": 4, "Domain": [0, 1, 0, 1], "Range": [0, 1]}, source))([0.2, 0.8])[-1:] == want or source == b"{ 3 1 roll }"
     assert function.load(d, {"FunctionType": 9, "Domain": [0, 1]}) is None
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_fax_group_4(seed):
+    import random
+
+    from quire.kernels import ccitt
+
+    rng = random.Random(seed)
+    width, rows, line = rng.choice([1, 7, 64, 130, 2700]), [], []
+    for _ in range(12):
+        if not line or rng.random() < 0.4:
+            line = []
+            while len(line) < width:
+                line += [len(line) % 2 ^ rng.randrange(2)] * rng.choice([1, 2, 5, 40, 700])
+            line = line[:width]
+        else:
+            line = [x ^ (rng.random() < 0.02) for x in line]
+        rows.append(list(map(int, line)))
+    packed = b"".join(int("".join(map(str, r)).ljust(-(-width // 8) * 8, "0"), 2).to_bytes(-(-width // 8), "big") for r in rows)
+    assert ccitt.decode(ccitt.encode_g4(rows), k=-1, columns=width, rows=len(rows), black_is_1=True) == packed
+
+
+def test_fax_group_3():
+    from quire.kernels import ccitt
+
+    bits = "000000000001" + "10011" + "11" + "10101" [:0]
+    white, black = {v: c for c, v in ccitt.RUNS[0].items()}, {v: c for c, v in ccitt.RUNS[1].items()}
+    row = white[3] + black[2] + white[3]
+    bits = ("000000000001" + row) * 2 + "000000000001" * 6
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert ccitt.decode(data, k=0, columns=8, black_is_1=True) == bytes([0b00011000] * 2)
+    assert ccitt.decode(data, k=0, columns=8) == bytes([0b11100111] * 2)
+
+
+def test_fax_image():
+    from quire.kernels import ccitt
+
+    rows = [[0, 1, 1, 0], [1, 1, 0, 0]]
+    d = {"Width": 4, "Height": 2, "BitsPerComponent": 1, "ColorSpace": Name("DeviceGray"), "Filter": Name("CCITTFaxDecode"), "DecodeParms": {"K": -1, "Columns": 4}}
+    doc = Document(image_document((d, ccitt.encode_g4(rows))).build())
+    got = read.extract_image(doc, read.images(doc)[0]["num"])
+    assert list(got["data"]) == [255 * (1 - x) for r in rows for x in r]

@@ -78,3 +78,21 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(queries.QUERIES) > 40
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quire.__main__ import main, parse_ranges
+
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        (tmp_path / "in" / f"{i}.pdf").write_bytes(synth.text_pdf("\n".join(f"line {i} {j}" for j in range(120))))
+    path, out = str(tmp_path / "in"), tmp_path / "out"
+    assert main(["text", path, "--json"], spark) == 0 and "line 1 119" in capsys.readouterr().out
+    assert main(["select", path, "--out", str(out), "--pages", "3,1"], spark) == 0
+    found = spark.read.format("pdf").option("table", "text").load(str(out)).collect()
+    assert sorted((r.path[-5:], r.page_index, r.text.split("\n")[0]) for r in found) == [(f"{i}.pdf", p, f"line {i} {j}") for i in range(2) for p, j in ((0, 100), (1, 0))]
+    assert main(["merge", path, "--out", str(tmp_path / "m")], spark) == 0
+    assert spark.read.format("pdf").option("table", "pages").load(str(tmp_path / "m")).count() == 6
+    assert parse_ranges("1-3,5,7-", 8) == [0, 1, 2, 4, 6, 7]
+    with pytest.raises(ValueError):
+        parse_ranges("5-2", 8)
