@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,14 +54,15 @@ def train(rows: list[tuple[str, int]], *, least: int = 5, epochs: int = 80, rate
         for f in {f for w in set().union(*bag) for f in features(w)}:
             seen[f] = seen.get(f, 0) + 1
     index = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= least))}
-    word, sent, owner = [], [], []
+    word, sent, owner = array("i"), array("i"), array("i")
     for d, bag in enumerate(bags):
         for s in bag:
             found = [index[f] for w in s for f in features(w) if f in index]
-            word += found
-            sent += [len(owner)] * len(found)
+            word.extend(found)
+            sent.extend([len(owner)] * len(found))
             owner.append(d)
-    word, sent, owner = (np.array(x, dtype=np.int64) for x in (word, sent, owner))
+    del bags, seen
+    word, sent, owner = (np.frombuffer(x, dtype=np.int32) for x in (word, sent, owner))
     weights, b = np.zeros(len(index)), bias
     g2, b2 = np.full(len(index), 1e-8), 1e-8
     balance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
@@ -113,7 +115,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[
     return [(r.text, r.toxic) for r in texts.select("text", "toxic").collect()]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 1200, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, worst (the sentence that offends most, null below the threshold)."""
     weights, bias = train(labelled_sample(docs, labels, per_class))
     shipped = docs.sparkSession.sparkContext.broadcast((weights, bias))  # bounded by the sample
@@ -121,7 +123,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, thres
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shipped.value
         scored = WordScores(weights)
-        for part in text_slices(batches):
+        for part in text_slices(batches, cache=scored):
             scores, worst = [], []
             for text in part.column("text").to_pylist():
                 found = sentences(text)
