@@ -365,3 +365,12 @@ def refs_reachable(spark, sf_dir):
     found = write_table(engine.objects(from_rows(spread(docs), synth.updated_pdf, ["user_id"])).select("user_id", "num", "refs", "type"), "objects")
     roots = found.where("type = 'Catalog'").select("user_id", "num")
     return engine.reachable(found, roots, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_nationkey, 1::BIGINT AS recompressed, greatest(1, floor(w * s + 0.5))::INTEGER AS width, greatest(1, floor(200 * s + 0.5))::INTEGER AS height
+FROM (SELECT n_nationkey, w, least(1.0::DOUBLE, 300::DOUBLE / w, 150::DOUBLE / 200) AS s FROM (SELECT n_nationkey, 100 + n_nationkey * 20 AS w FROM nation))""")
+def compress_images(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", (F.lit(100) + F.col("n_nationkey") * 20).alias("w"))
+    done = engine.rewrite(from_rows(spread(rows), synth.photo_pdf, ["n_nationkey"]), [engine.compress_images(max_width=300, max_height=150)])
+    found = engine.images(done.select("n_nationkey", F.col("report")["images_recompressed"].alias("recompressed"), "content"))
+    return found.select("n_nationkey", "recompressed", "width", "height")

@@ -169,6 +169,16 @@ def image_pdf(r: dict) -> bytes:
     return b.build()
 
 
+def photo_pdf(r: dict) -> bytes:
+    """A smooth gray image of 200 rows, not compressed."""
+    b = Builder()
+    w = r["w"]
+    data = bytes(x * 100 // w + y // 2 for y in range(200) for x in range(w))
+    photo = b.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": w, "Height": 200, "ColorSpace": Name("DeviceGray"), "BitsPerComponent": 8}, data))
+    b.page(b"/I Do", resources={"XObject": {"I": photo}})
+    return b.build()
+
+
 def updated_pdf(r: dict) -> bytes:
     """An object that later updates of the file define anew: the last value counts."""
     from quire.kernels.write import update
