@@ -15,9 +15,8 @@ from quire.llm.common import materialize, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no text, no letter); the others' lang is the predicted one where it was null."""
-    found = langid.language_id(docs).where("lang_pred != 'und'").groupBy("doc_id").agg(F.first("lang_pred").alias("__lang"))
-    joined = docs.join(found.withColumnRenamed("doc_id", "__id"), docs["doc_id"] == F.col("__id"))
-    return joined.withColumn("lang", F.coalesce("lang", "__lang")).where("text is not null").select(*docs.columns)
+    found = langid.identify(docs, langid.fit(docs), label="__lang", score="__score").where("`__lang` != 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

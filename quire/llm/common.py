@@ -50,8 +50,17 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``limit`` bytes of text (one row at least)."""
+_HELD: list = [None]
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, cache=None) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds about ``limit`` bytes of text (one row at least).
+
+    cache: what this operator remembers in the worker process; what another one left there is cleared.
+    """
+    if _HELD[0] is not None and _HELD[0] is not cache:
+        _HELD[0].clear()
+    _HELD[0] = cache
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -15,31 +15,32 @@ document is ``und``; ties go to the language first in order; repeated rows give
 from __future__ import annotations
 
 import functools
+import itertools
 import operator
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import text_slices
 
-FEATURES = 1 << 16
 _SENTENCE = re.compile(r"[\n.!?]+")
+_EDGE = ".,;:!?()[]\"'|*#&%$"
 
 
-def features(word: str) -> np.ndarray:
-    """Hashed features of a word."""
-    low = word.lower().strip(".,;:!?()[]\"'|*#&%$")
-    found = {"w" + low, "c" + ("u" if word[:1].isupper() else "l")}
-    for n in range(1, 5):
-        if len(low) >= n:
-            found |= {f"p{low[:n]}", f"s{low[-n:]}"}
-    found |= {f"g{low[i : i + n]}" for n in (2, 3) for i in range(len(low) - n + 1)}
-    return np.fromiter((xxhash.xxh3_64_intdigest(f) % FEATURES for f in found), dtype=np.int64, count=len(found))
+def core(word: str) -> str:
+    return word.lower().strip(_EDGE)
+
+
+def features(low: str) -> list[str]:
+    """Features of a folded word; the empty one, which all have, first."""
+    n = len(low)
+    found = ["", "w" + low, *("p" + low[:i] for i in range(1, min(4, n) + 1)), *("s" + low[n - i :] for i in range(1, min(4, n) + 1))]
+    return found + [low[i : i + 2] for i in range(n - 1)] + [low[i : i + 3] for i in range(n - 2)]
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -77,28 +78,56 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return post, pairs * t, float(np.log(scale).sum() + top.sum())
 
 
+class Rows:
+    """Weight rows by feature; a word's scores are their sum."""
+
+    def __init__(self, index: dict[str, int], weights: np.ndarray):
+        self.index, self.weights = index, weights
+
+    def ids(self, lows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all words' known features, and how many each has (one at least)."""
+        get = self.index.get
+        found = [[i for f in features(low) if (i := get(f)) is not None] for low in lows]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum())), sizes
+
+    def scores(self, lows: list[str]) -> np.ndarray:
+        ids, sizes = self.ids(lows)
+        return np.add.reduceat(self.weights[ids], np.cumsum(sizes) - sizes, axis=0)
+
+
 class Tagger:
     """A trained field; remembers the scores of words it has met (bounded)."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, transitions: np.ndarray, remember: int = 300_000):
-        self.languages, self.weights, self.transitions, self.remember = languages, weights, transitions, remember
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((remember, len(languages)), dtype=np.float32)
+    def __init__(self, languages: list[str], rows: Rows, transitions: np.ndarray, remember: int = 250_000):
+        self.languages, self.rows, self.transitions, self.remember = languages, rows, transitions, remember
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}  # surface -> row of scores
+        self.lows: dict[str, int] = {}  # folded -> row of base
+        self.scores = np.zeros((self.remember, len(self.languages)), dtype=np.float32)
+        self.base = np.zeros((self.remember, len(self.languages)), dtype=np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         distinct = set(words)
         new = distinct - self.known.keys()
         if len(self.known) + len(new) > self.remember:
-            self.known.clear()
+            self.remember = max(self.remember, len(distinct))
+            self.clear()
             new = distinct
-            if len(new) > len(self.scores):
-                self.scores = np.zeros((len(new), len(self.languages)), dtype=np.float32)
         if new:
             new = list(new)
-            ids = [features(w) for w in new]
-            cuts = np.cumsum([0] + [len(x) for x in ids[:-1]])
+            lows = list(map(core, new))
+            fresh = list(set(lows) - self.lows.keys())
+            if fresh:
+                at = len(self.lows)
+                self.base[at : at + len(fresh)] = self.rows.scores(fresh)
+                self.lows.update(zip(fresh, range(at, at + len(fresh))))
             at = len(self.known)
-            self.scores[at : at + len(new)] = np.add.reduceat(self.weights[np.concatenate(ids)], cuts, axis=0)
+            upper = np.fromiter((w[:1].isupper() for w in new), dtype=np.int64, count=len(new))
+            case = self.rows.weights[[self.rows.index["case-"], self.rows.index["case+"]]]
+            self.scores[at : at + len(new)] = self.base[np.fromiter(map(self.lows.__getitem__, lows), dtype=np.int64, count=len(lows))] + case[upper]
             self.known.update(zip(new, range(at, at + len(new))))
         return self.scores[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))]
 
@@ -114,9 +143,11 @@ class Tagger:
         return np.split(post, np.cumsum(counts)[:-1])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [("und", 0.0) for _ in texts]
         out = []
         for text, post in zip(texts, self.tag(texts)):
-            if not self.languages or not len(post) or not has_letter(text):
+            if not len(post) or not has_letter(text):
                 out.append(("und", 0.0))
                 continue
             share = post.mean(axis=0)
@@ -129,27 +160,36 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, chains: int = 256, seed: int = 0) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, chains: int = 256, seed: int = 0) -> tuple[list[str], Rows, np.ndarray]:
     """Fit the field to (text, language) rows: AdaGrad on the log-likelihood of sentences and of their mixtures."""
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
-    weights, transitions = np.zeros((FEATURES, max(1, k))), np.zeros((max(1, k), max(1, k)))
+    transitions = np.zeros((k, k))
+    index = {"": 0, "case-": 1, "case+": 2}
     if not k:
-        return [], weights[:, :0], transitions[:0, :0]
+        return [], Rows(index, np.zeros((3, 0))), transitions
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     labelled = []
     for text, lang in sorted(rows):
         for s in sentences(text):
             labelled.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in s]), np.full(len(s), languages.index(lang))))
-    ids = [features(w) for w in vocabulary]
+    lows = list(map(core, vocabulary))
+    for low in sorted(set(lows)):
+        for f in features(low):
+            index.setdefault(f, len(index))
+    rows_ = Rows(index, np.zeros((len(index), k)))
+    weights = rows_.weights
     for i in range(0, len(labelled) - 1, 4):  # code-switched chains
         j = int(rng.integers(len(labelled)))
         labelled.append(tuple(np.concatenate(x) for x in zip(labelled[i], labelled[j])))
     if not labelled:
-        return languages, weights, transitions
-    sizes = np.array([len(x) for x in ids])
-    flat, cuts = np.concatenate(ids), np.cumsum(sizes) - sizes
+        return languages, rows_, transitions
+    flat, sizes = rows_.ids(lows)
+    ends = np.cumsum(sizes)
+    case = np.fromiter((index["case+"] if w[:1].isupper() else index["case-"] for w in vocabulary), dtype=np.int64, count=len(vocabulary))
+    flat, sizes = np.insert(flat, ends, case), sizes + 1  # each word's case stands after its features
+    cuts = np.cumsum(sizes) - sizes
     g2, t2 = np.full_like(weights, 1e-6), np.full_like(transitions, 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(labelled))
@@ -158,7 +198,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, chain
             words, gold = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
             lengths = np.array([len(p[0]) for p in part])
             used, inverse = np.unique(words, return_inverse=True)
-            spans = np.concatenate([flat[cuts[w] : cuts[w] + sizes[w]] for w in used])
+            spans = flat[np.repeat(cuts[used] - np.cumsum(sizes[used]) + sizes[used], sizes[used]) + np.arange(int(sizes[used].sum()))]
             reps = np.repeat(np.arange(len(used)), sizes[used])
             scores = np.add.reduceat(weights[spans], np.cumsum(sizes[used]) - sizes[used], axis=0)
             post, pairs, _ = forward_backward(scores[inverse], lengths, transitions)
@@ -175,19 +215,21 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, chain
             tg = (pairs - gold_pairs) / len(part) + 1e-4 * transitions
             t2 += tg**2
             transitions -= rate * tg / np.sqrt(t2)
-    return languages, weights, transitions
+    return languages, rows_, transitions
 
 
 def labelled_sample(docs: DataFrame, allowed, per_language: int) -> list[tuple[str, str]]:
     """Up to ``per_language`` labelled rows of each language, the least by hash: bounded, the same in every run."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed).select("doc_id", "text", "lang")
-    order = F.xxhash64("doc_id", "text")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed)
+    order = F.xxhash64("doc_id")
     languages = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
         return []
-    keys = [rows.where(F.col("lang") == x).select(order.alias("h"), "lang").orderBy("h").limit(per_language) for x in languages]
-    picked = functools.reduce(operator.or_, (((F.col("lang") == x) & (order <= max(r.h for r in k.collect()))) for x, k in zip(languages, keys)))
-    return [(r.text, r.lang) for r in rows.where(picked).select("text", "lang").collect()]
+    keys = functools.reduce(DataFrame.unionByName, [rows.where(F.col("lang") == x).select("lang", order.alias("h")).orderBy("h").limit(per_language) for x in languages])
+    most = {r.lang: r.h for r in keys.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    picked = functools.reduce(operator.or_, ((F.col("lang") == x) & (order <= most[x]) for x in languages))
+    # equal hashes (rows of one doc_id) could exceed the bound
+    return [(r.text, r.lang) for r in rows.where(picked).select("text", "lang").limit(2 * per_language * len(languages)).collect()]
 
 
 def held_out(modulus: int):
@@ -195,26 +237,28 @@ def held_out(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 2
 
 
-def fit(docs: DataFrame, *, per_language: int = 150, epochs: int = 4) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, *, per_language: int = 150, epochs: int = 4) -> tuple[list[str], Rows, np.ndarray]:
     allowed = ~F.coalesce(held_out(4), F.lit(False))
     return train(labelled_sample(docs, allowed, per_language), epochs)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score of each row; reads doc_id and text only."""
-    spark = docs.sparkSession
-    languages, weights, transitions = model
-    shipped = spark.sparkContext.broadcast((languages, weights.astype(np.float32), transitions))  # FEATURES x languages
+def identify(docs: DataFrame, model: tuple[list[str], Rows, np.ndarray], *, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of docs, and the language and score of each row's text: one pass, nothing is shuffled."""
+    languages, rows, transitions = model
+    shipped = docs.sparkSession.sparkContext.broadcast((languages, Rows(rows.index, rows.weights.astype(np.float32)), transitions))  # bounded by the sample
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(*shipped.value)
-        for part in text_slices(batches, limit=1 << 20):
+        for part in text_slices(batches, limit=1 << 20, cache=tagger):
             found = tagger.predict(part.column("text").to_pylist())
-            yield pa.record_batch([part.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=schema.names)
+        tagger.clear()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, *, per_language: int = 150, epochs: int = 4) -> DataFrame:
-    found = identify(docs, fit(docs, per_language=per_language, epochs=epochs))
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = identify(wanted, fit(docs, per_language=per_language, epochs=epochs))
     return found.select("doc_id", F.coalesce(held_out(4), F.lit(False)).alias("held_out"), "lang_pred", "score")
