@@ -1,10 +1,13 @@
 """Operator 1: near-duplicate documents by HyperMinHash, with every link confirmed on the full sets.
 
-A document's set is its distinct five-word shingles, as 64-bit hashes. The sketch has 128 buckets; a bucket keeps
-the least hash that falls in it as a compressed register: the number of leading zeros (6 bits) and the next ten
-mantissa bits. Bands of four registers propose pairs; bands of only empty buckets propose nothing. At similarity
-0.75 a pair is missed by all 32 bands with a chance of about 5e-6. Proposed pairs are judged by the Jaccard estimate
-with register collisions corrected, and those not clearly below the threshold are confirmed on the sets.
+A document's set is its distinct five-word shingles, as 64-bit hashes. The sketch has 256 registers. Sets of different
+sizes are dealt to different numbers of buckets, so that a bucket holds four shingles or more: a level is a number of
+buckets, and a small set is dealt again and again, by other hashes, until there are 256 buckets (a set near the border of two
+levels is sketched at both, so sets of which one is up to a third larger always share a level). A bucket keeps its least hash as a
+compressed register: the number of leading zeros (6 bits) and the next ten mantissa bits. Bands of six registers
+propose pairs: at similarity 0.75 all 42 bands miss a pair with a chance of 3e-4, at 0.8 of 3e-6; at 0.3 some band
+proposes it with a chance of 0.03. Proposed pairs are judged by the Jaccard estimate with register collisions corrected,
+and those not clearly below the threshold are confirmed on the sets.
 
 Scale. Documents with equal sets form a class, found by an aggregate over set fingerprints; only class
 representatives (least doc_id) are sketched further, so thousands of copies cost one row. A band bucket is never expanded to pairs: it is a star around
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import U, WordHashes, fold, materialize, mix, text_slices
 
-WORDS, BITS, BAND = 5, 7, 4
-REGISTERS, MANTISSA = 1 << BITS, 10
+WORDS, BAND, REGISTERS, MANTISSA = 5, 6, 256, 10
 _K = [U(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(WORDS)]
+_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U))
 #: ids that may be broadcast to pick texts (under 10 MB); more are joined by a shuffle
 BROADCAST_IDS = 200_000
 _HASHES = WordHashes()
@@ -54,22 +57,40 @@ def shingle_sets(texts: list[str | None], size: int = WORDS) -> list[np.ndarray]
     return out
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
+def levels(n: int) -> list[int]:
+    """Levels (2 ** level buckets a deal) at which a set of n is sketched."""
+    at = lambda x: max(0, min(8, int(x).bit_length() - 3))
+    return sorted({at(n), at(-(-4 * n // 3))}) if n else []
+
+
+def sketch(hashes: np.ndarray, level: int) -> np.ndarray:
     """Registers of a set: 0 for an empty bucket, else leading zeros and mantissa, plus one."""
     registers = np.zeros(REGISTERS, dtype=np.uint16)
-    if len(hashes):
-        h = mix(hashes ^ U(0x5851F42D4C957F2D))
-        h.sort()  # buckets are the top bits: the first of each is its least
-        bucket = (h >> U(64 - BITS)).astype(np.int64)
+    deals = REGISTERS >> level
+    h = mix(hashes[None, :] ^ _SEEDS[:deals, None])
+    if level:
+        h.sort(axis=1)  # buckets are the top bits: the first of each is its least
+        bucket = (h >> U(64 - level)).astype(np.int64) + (np.arange(deals) << level)[:, None]
+        bucket, h = bucket.ravel(), h.ravel()
         first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        low = (h[first] << U(BITS)) | U((1 << BITS) - 1)
-        zeros = 63 - np.floor(np.log2(low.astype(np.float64))).astype(np.int64)
-        zeros = np.clip(zeros, 0, 62)
-        mantissa = ((low << (zeros + 1).astype(U)) >> U(64 - MANTISSA)).astype(np.int64)
-        registers[bucket[first]] = (zeros << MANTISSA | mantissa) + 1
+        at, low = bucket[first], (h[first] << U(level)) | U((1 << level) - 1)
+    else:
+        at, low = np.arange(deals), h.min(axis=1)
+    zeros = np.clip(63 - np.floor(np.log2(np.maximum(low, U(1)).astype(np.float64))).astype(np.int64), 0, 62)
+    mantissa = ((low << (zeros + 1).astype(U)) >> U(64 - MANTISSA)).astype(np.int64)
+    registers[at] = (zeros << MANTISSA | mantissa) + 1
     return registers
 
 
+def band_keys(registers: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of the bands that are not empty, with band and level mixed in."""
+    groups = registers[: REGISTERS // BAND * BAND].reshape(-1, BAND).astype(U)
+    key = np.zeros(len(groups), dtype=U)
+    for i in range(BAND):
+        key = mix(key * _K[1] + groups[:, i])
+    return mix(key + np.arange(len(groups), dtype=U) * _K[2] + U(level))[groups.any(axis=1)].view(np.int64)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     """Jaccard estimate of two sketches, less the matches that compression makes by chance."""
     used = (a > 0) | (b > 0)
@@ -86,17 +107,13 @@ def sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, print (fingerprint of the set, null if empty), registers, bands (hashes, with their index mixed in)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, cache=_HASHES):
             found = shingle_sets(part.column("text").to_pylist())
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
-            rows = [sketch(s) for s in found]
-            bands = []
-            for r in rows:
-                groups = r.reshape(-1, BAND).astype(U)
-                full = groups.any(axis=1)
-                key = groups @ np.array([1 << 16 * i for i in range(BAND)], dtype=U)
-                bands.append(mix(mix(key) + np.arange(len(groups), dtype=U))[full].view(np.int64))
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(prints, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "registers", "bands"])
+            rows = [{k: sketch(s, k) for k in levels(len(s))} for s in found]
+            bands = [np.concatenate([band_keys(r, k) for k, r in own.items()]) if own else [] for own in rows]
+            stored = [b"".join(bytes([k]) + r.tobytes() for k, r in own.items()) for own in rows]
+            yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(prints, pa.binary()), pa.array(stored, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "registers", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, registers binary, bands array<long>")
 
@@ -122,15 +139,23 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def unstored(data: bytes) -> dict[int, np.ndarray]:
+    """Registers by level."""
+    size = 1 + 2 * REGISTERS
+    return {data[i]: np.frombuffer(data[i + 1 : i + size], np.uint16) for i in range(0, len(data), size)}
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) with 100 * intersection >= percent * union."""
-    margin = percent / 100 - 0.25  # over six standard errors of 128 registers
+    margin = percent / 100 - 0.25  # nine standard errors of 256 registers
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("ra", "rb", "na", "nb"))):
-                keep.append(min(n, m) < 64 or estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m) >= margin)
+                x, y = unstored(x), unstored(y)
+                level = min(x.keys() & y.keys())
+                keep.append(estimate(x[level], y[level], n, m) >= margin)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     side = sketches.select("doc_id", "registers", "n_shingles")
@@ -141,7 +166,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, percent: i
         wanted = F.broadcast(wanted)  # else texts are shuffled to the ids
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, cache=_HASHES):
             found = [s.view(np.int64) for s in shingle_sets(part.column("text").to_pylist())]
             yield pa.record_batch([part.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "set"])
 
@@ -163,7 +188,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, centres: int = 64, ro
     banded = represent.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "n_shingles")).alias("first")).where("k > 1")
     buckets = materialize(banded.join(shared, "band").select("band", "doc_id", "n_shingles", "first"), "buckets").where("doc_id != first.doc_id")
-    sketches = materialize(represent.select("doc_id", "registers", "n_shingles"), "registers")
+    sketches = materialize(represent.select("doc_id", "registers", "n_shingles").join(buckets.select("doc_id").unionByName(buckets.select(F.col("first.doc_id").alias("doc_id"))).distinct(), "doc_id", "left_semi"), "registers")
     near = f"100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m)"  # sizes alone rule the others out
     pairs = buckets.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), "n_shingles", F.col("first.n_shingles").alias("m")).where(near).select("a", "b").distinct()
     links = materialize(confirmed(pairs, docs, sketches, percent), "links")
