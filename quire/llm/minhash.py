@@ -121,7 +121,6 @@ def sets(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) for every node of edges(a, b): the least id reachable. Alternating large and small stars."""
     edges = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    state = None
     for _ in range(60):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -129,16 +128,27 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, label)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
+        # stars only: nobody is both a centre's member and a centre
+        if edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            least = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+            if least.isEmpty():
+                break
     else:
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only the components that the links join are looked at."""
+    nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    labels = labels.unionByName(nodes.join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias("c" + c))
+    edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = components(edges).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return labels.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def unstored(data: bytes) -> dict[int, np.ndarray]:
     """Registers by level."""
     size = 1 + 2 * REGISTERS
@@ -177,7 +187,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, percent: i
     return joined.withColumn("n", shared).where(100 * F.col("n") >= percent * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, centres: int = 64, rounds: int = 60) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 75, centres: int = 8, rounds: int = 60) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
     described = materialize(sets(docs), "sketches")
     groups = described.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("class_id"))
@@ -210,8 +220,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, centres: int = 64, ro
         found = materialize(confirmed(pairs, docs, sketches, percent), "links")
         left = left.join(chosen.select("band", F.col("centre").alias("doc_id")), ["band", "doc_id"], "left_anti").select("band", "doc_id", "n_shingles")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = materialize(components(links), "labels")
+            labels = materialize(joined(labels, found), "labels")
         centres *= 2  # a bucket of n components ends after log n rounds
     final = member.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("component_id"))
     out = described.select("doc_id", "n_shingles").join(final, "doc_id", "left")
