@@ -27,6 +27,10 @@ from quire.llm.common import materialize, text_slices
 from quire.llm.tokens import VOCABULARY, Encoder
 
 
+#: how full a configuration must be to be used
+FULL = 0.998
+
+
 def best_value(prices: np.ndarray, capacity: int) -> np.ndarray:
     """Knapsack by dynamic programming: the multiset of lengths that is worth most; prices[i] is of length i + 1."""
     value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
@@ -50,27 +54,36 @@ def best_value(prices: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def solve(histogram: np.ndarray, rounds: int = 300, rate: float = 0.1) -> list[tuple[np.ndarray, float]]:
-    """Fractional covering by multiplicative weights: (configuration, share of sequences)."""
+def solve(histogram: np.ndarray, rounds: int = 400, rate: float = 0.25, steepness: float = 0.15) -> list[tuple[np.ndarray, float]]:
+    """Fractional solution by multiplicative weights: (configuration, share of sequences).
+
+    A length's weight starts at its room and falls by a factor with each part of its demand that is covered; the
+    configuration worth most at these prices gets a share that covers ``rate`` of what its scarcest length still wants.
+    """
     capacity = len(histogram)
-    present = histogram > 0
-    if not present.any():
-        return []
-    demand = np.where(present, histogram, 1).astype(float)
-    covered = np.zeros(capacity)  # as a part of the demand
-    found: dict[bytes, list] = {}
+    demand = np.maximum(histogram, 1).astype(float)
+    left = histogram.astype(float)
+    room = np.arange(1, capacity + 1) / capacity
+    rare = np.zeros(capacity, dtype=bool)  # lengths with too few pieces left to be repeated: left to the rounding
+    found: list[tuple[np.ndarray, float]] = []
     for _ in range(rounds):
-        low = covered[present].min()
-        prices = np.where(present, np.exp(-(covered - low) / rate) / demand, 0.0)
-        # a length costs its room too: prices below this share of a sequence's worth can't enter a good one
+        open_ = (left >= 1) & ~rare
+        if not open_.any():
+            break
+        part = left / demand
+        prices = np.where(open_, room * np.exp(-steepness * (part[open_].max() - part)), 0.0)
         pattern = best_value(prices, capacity)
         used = pattern > 0
-        step = max(1.0, float((demand[used] / pattern[used]).min()) * rate)
-        found.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += step
-        covered = covered + pattern * step / demand
-        if covered[present].min() >= 1:
+        share = float((left[used] / pattern[used]).min())
+        if share < 1:
+            rare |= used & (left < pattern)
+            continue
+        if (pattern * room).sum() < FULL:
             break
-    return [(p, s) for p, s in found.values()]
+        share = max(1.0, np.floor(share * rate))
+        found.append((pattern, share))
+        left -= pattern * share
+    return found
 
 
 def best_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -102,11 +115,11 @@ def best_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return [(p, int(n)) for groups in rooms.values() for p, n in groups]
 
 
-def plan(histogram: np.ndarray, rounds: int = 300) -> list[tuple[np.ndarray, int]]:
+def plan(histogram: np.ndarray, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
     """Whole sequences that hold every piece once: (pieces of each length, number of such sequences)."""
     left = histogram.astype(np.int64).copy()
     out = []
-    for pattern, share in sorted(solve(left, rounds), key=lambda x: (-x[1], x[0].tobytes())):
+    for pattern, share in solve(left, rounds):
         used = pattern > 0
         count = min(int(share), int((left[used] // pattern[used]).min()))
         if count > 0:
@@ -135,7 +148,7 @@ def encode_pieces(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.shared(vocabulary), np.array([end_id], dtype="<u4").tobytes()
-        for part in text_slices(batches):
+        for part in text_slices(batches, cache=encoder):
             rows = []
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                 ids += end
@@ -147,7 +160,7 @@ def encode_pieces(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 300) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 400) -> DataFrame:
     """Add sequence_id and offset to rows that have a ``length`` of 1 to ``capacity``.
 
     ``pieces`` is written once to the shared folder, with the rank of each row among its task's rows of that length.
@@ -212,7 +225,7 @@ def _ranked(pieces: DataFrame, task: str, rank: str) -> DataFrame:
     return pieces.mapInArrow(number, T.StructType([*pieces.schema.fields, T.StructField(task, T.IntegerType()), T.StructField(rank, T.LongType())]))
 
 
-def pack_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int = 2, capacity: int = 1024, rounds: int = 300, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int = 2, capacity: int = 1024, rounds: int = 400, with_ids: bool = True) -> DataFrame:
     """Pieces of the documents with their crc32, place and (with_ids) ids."""
     pieces = encode_pieces(docs, vocabulary=vocabulary, end_id=end_id, capacity=capacity)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))

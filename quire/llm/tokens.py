@@ -20,7 +20,9 @@ another; a null ``doc_id`` sorts first; an empty table gives no file and no row;
 
 from __future__ import annotations
 
+import itertools
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +38,7 @@ from quire.llm.common import new_path, text_slices
 
 #: Default vocabulary, looked up where the public tokenizer files are installed; any path may be given.
 VOCABULARY = "byte_bpe_50k.json"
+MARKS = string.punctuation
 _ODD = regex.compile(r"\s\s|^\s|\s\Z")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -43,7 +46,7 @@ _ENCODERS: dict[str, "Encoder"] = {}
 class Encoder:
     """Whole texts to little-endian uint32 ids, through the tokenizers library."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, remember: int = 500_000):
+    def __init__(self, vocabulary: str = VOCABULARY, remember: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,6 +63,7 @@ class Encoder:
         for name, i in names.items():
             self.begins[i] = name.startswith("Ġ") or name == "Ċ"
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.remember = remember
 
     @classmethod
@@ -69,15 +73,18 @@ class Encoder:
             _ENCODERS[vocabulary] = cls(vocabulary)
         return _ENCODERS[vocabulary]
 
+    def clear(self) -> None:
+        self.known, self.tails = {}, {}
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, runs: list[str]) -> None:
-        if len(self.known) + len(runs) > self.remember:
-            self.known.clear()
         for at in range(0, len(runs), 5000):
             part = [r if r[0] == "\n" else " " + r for r in runs[at : at + 5000]]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
+            # a few runs a call: the library is slower on longer texts
+            found = self.tokenizer.encode_batch(["".join(part[i : i + 24]) for i in range(0, len(part), 24)], add_special_tokens=False)
+            ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), dtype="<u4")
             starts = np.flatnonzero(self.begins[ids])
             if len(starts) == len(part):
                 raw, cuts = ids.tobytes(), [*(starts * 4).tolist(), 4 * len(ids)]
@@ -85,6 +92,23 @@ class Encoder:
             else:
                 self.known.update(zip(runs[at : at + 5000], self._whole(part)))
 
+    def _meet(self, new: set[str]) -> None:
+        """Make runs known. A letter and a mark after it are never one pre-token: a run that ends in marks is its parts."""
+        parted = {}
+        for run in new:
+            stem = run.rstrip(MARKS)
+            if len(stem) < len(run) and stem[-1:].isalpha():
+                parted[run] = stem, run[len(stem) :]
+        stems = {stem for stem, _ in parted.values()}
+        self._learn(list(((new - parted.keys()) | stems) - self.known.keys()))
+        tails = list({tail for _, tail in parted.values()} - self.tails.keys())
+        if len(self.tails) + len(tails) > self.remember:
+            self.tails.clear()
+            tails = list({tail for _, tail in parted.values()})
+        self.tails.update(zip(tails, self._whole(tails) if tails else []))
+        known, ends = self.known, self.tails
+        known.update({run: known[stem] + ends[tail] for run, (stem, tail) in parted.items()})
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; texts should come in blocks, for new runs are encoded a block at a time."""
         out: list[bytes | None] = [None] * len(texts)
@@ -97,11 +121,12 @@ class Encoder:
                 odd.append(i)
             else:
                 runs[i] = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        new = set().union(*runs.values()) - self.known.keys() if runs else set()
+        distinct = set().union(*runs.values()) if runs else set()
+        new = distinct - self.known.keys()
         if len(self.known) + len(new) > self.remember:
             self.known.clear()
-            new = set().union(*runs.values())
-        self._learn(list(new))
+            new = distinct
+        self._meet(new)
         for i, pieces in runs.items():
             out[i] = b"".join(map(self.known.__getitem__, pieces))[4:]  # without the line feed put before the text
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]) if odd else []):
@@ -207,7 +232,7 @@ def write_token_files(docs: DataFrame, folder: str, *, vocabulary: str = VOCABUL
         uri = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         shard, n, first = None, 0, None
         end = np.array([end_id], dtype="<u4")
-        for part in text_slices(batches):
+        for part in text_slices(batches, cache=encoder):
             if shard is None:
                 shard, first = ShardWriter(uri, length, rows, kind), part.column("doc_id")[0].as_py()
             ids = encoder.encode(part.column("text").to_pylist())
