@@ -1,6 +1,6 @@
 """Operator 6: visible text of HTML with its layout: a tree builder with implied tags, then a renderer.
 
-The builder closes what HTML lets authors leave open (p, li, dt, dd, tr, td, th, option, table sections), opens table
+The builder closes what HTML lets authors leave open (head, p, li, dt, dd, tr, td, th, option, table sections), opens table
 rows that are missing, ignores end tags without a start, and reads raw-text elements up to their end tag. Hidden
 are elements that a browser shows nothing of (head, script, style, template, ...), the ``hidden`` attribute, ``display:none`` and
 ``visibility:hidden`` styles, hidden inputs and comments. The renderer keeps block spacing, preformatted text, nested lists with
@@ -32,6 +32,8 @@ RAW = set("script style textarea title xmp iframe noembed noframes plaintext".sp
 HIDDEN = set("head title script style template noscript iframe object audio video canvas svg math datalist select noembed noframes area meta link base param source track".split())
 BLOCKS = set("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table ul h1 h2 h3 h4 h5 h6".split())
 SPACED = set("p blockquote dl figure ol ul menu pre table h1 h2 h3 h4 h5 h6 hr fieldset".split())
+#: what may stand in head; anything else ends it
+IN_HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 CLOSES_P = (BLOCKS - {"dd", "dt", "li", "body", "html", "option", "optgroup", "legend"}) | {"dd", "dt", "li"}
 SCOPES = set("table td th caption html body button object template".split())
 #: start tag -> open elements that it ends
@@ -63,18 +65,26 @@ def parse(source: str) -> Node:
         if last is not None:
             del stack[last:]
 
+    def add_text(s: str) -> None:
+        s = html.unescape(s)
+        if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+            stack.pop()
+        stack[-1].children.append(s)
+
     at, n = 0, len(source)
     while at < n:
         found = _TOKEN.search(source, at)
         if not found:
-            stack[-1].children.append(html.unescape(source[at:]))
+            add_text(source[at:])
             break
         if found.start() > at:
-            stack[-1].children.append(html.unescape(source[at : found.start()]))
+            add_text(source[at : found.start()])
         at = found.end()
         if found[1]:
             tag = found[1].lower()
             if tag == "br":
+                if stack[-1].tag == "head":
+                    stack.pop()
                 stack[-1].children.append(Node("br"))
                 continue
             stop = {"table"} if tag in ("td", "th", "tr") or tag in SECTIONS else SCOPES - {tag}
@@ -93,6 +103,8 @@ def parse(source: str) -> Node:
                 root.attributes |= attributes
                 close({"head"}, set())
                 continue
+            if stack[-1].tag == "head" and tag not in IN_HEAD:
+                stack.pop()
             if tag in CLOSES_P:
                 close({"p"}, SCOPES)
             if tag in SECTIONS:

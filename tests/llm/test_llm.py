@@ -256,6 +256,11 @@ def test_html(source, want):
     assert html.extract(source)[0] == want
 
 
+@pytest.mark.parametrize("source", ["<html><head><title>t</title><meta name=a><p>Hello", "<head><title>t</title>Hello", "<head><style>x</style> <link rel=x><br>Hello", "<head><script>x</script><div>Hello</div></head>", "<head>\n<title>t</title></br>Hello"])
+def test_html_head_ends_by_implication(source):
+    assert html.extract(source)[0].strip() == "Hello"
+
+
 def test_html_depth_and_table(spark):
     assert html.extract("<div>" * 50_000 + "x")[0] == "x"
     assert "x" in html.extract("<table><tr><td>" * 200 + "x")[0]
