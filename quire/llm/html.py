@@ -3,8 +3,8 @@
 The builder closes what HTML lets authors leave open (head, p, li, dt, dd, tr, td, th, option, table sections), opens table
 rows that are missing, ignores end tags without a start, and reads raw-text elements up to their end tag. Hidden
 are elements that a browser shows nothing of (head, script, style, template, ...), the ``hidden`` attribute, ``display:none`` and
-``visibility:hidden`` styles, hidden inputs and comments. The renderer keeps block spacing, preformatted text, nested lists with
-bullets or numbers, and tables as aligned columns, spans included.
+``visibility:hidden`` styles, hidden inputs and comments. Formulas, labels of drawings and all options of a select are text. The renderer keeps block spacing, preformatted text, nested lists with
+bullets or numbers, and tables as aligned columns, spans included. What stands in a table but in no cell comes before it, as in browsers.
 
 Defined results: null or empty html gives empty text; html cut off anywhere is rendered as far as it goes; nesting has no
 limit (the walk keeps its own stack); repeated rows give repeated results.
@@ -29,7 +29,9 @@ _BLANK = re.compile(r"[ \t\n\r\f]+")
 # fixed values of the HTML language
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = set("head title script style template noscript iframe object audio video canvas svg math datalist select noembed noframes area meta link base param source track".split())
+HIDDEN = set("head title script style template noscript iframe object audio video canvas datalist noembed noframes area meta link base param source track".split())
+#: inside svg and math: elements that are not shown
+UNSEEN = {"svg": set("title desc defs metadata symbol clippath mask pattern marker filter lineargradient radialgradient".split()), "math": {"annotation", "annotation-xml"}}
 BLOCKS = set("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table ul h1 h2 h3 h4 h5 h6".split())
 SPACED = set("p blockquote dl figure ol ul menu pre table h1 h2 h3 h4 h5 h6 hr fieldset".split())
 #: what may stand in head; anything else ends it
@@ -41,6 +43,8 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opt
 #: tables in tables that are aligned; deeper ones are rendered as blocks
 DEEPEST = 30
 SECTIONS = {"thead", "tbody", "tfoot"}
+#: table part -> open elements that it goes into
+INTO = {"td": {"tr", "table"} | SECTIONS, "th": {"tr", "table"} | SECTIONS, "tr": {"table"} | SECTIONS} | {s: {"table"} for s in SECTIONS}
 
 
 class Node:
@@ -65,6 +69,14 @@ def parse(source: str) -> Node:
         if last is not None:
             del stack[last:]
 
+    def back(tags: set[str]) -> None:
+        """End what was left open inside the nearest of ``tags`` of this table."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in tags:
+                del stack[i + 1 :]
+            if stack[i].tag in tags or stack[i].tag in ("table", "template"):
+                break
+
     def add_text(s: str) -> None:
         s = html.unescape(s)
         if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
@@ -111,10 +123,15 @@ def parse(source: str) -> Node:
                 close({"tr", "td", "th", "caption", "colgroup"} | SECTIONS, {"table"})
             elif tag in IMPLIED:
                 close(IMPLIED[tag], {"table"} if tag == "tr" else {"ul", "ol", "menu"} | SCOPES if tag == "li" else {"dl"} | SCOPES if tag in ("dt", "dd") else {"tr", "table"} if tag in ("td", "th") else {"select", "datalist"})
+            if tag in INTO:
+                back(INTO[tag])
             if tag in ("td", "th") and stack[-1].tag in SECTIONS | {"table"}:
                 row = Node("tr")
                 stack[-1].children.append(row)
                 stack.append(row)
+            for kind, unseen in UNSEEN.items():
+                if tag in unseen and any(e.tag == kind for e in stack):
+                    attributes["hidden"] = ""
             node = Node(tag, attributes)
             stack[-1].children.append(node)
             if tag in RAW:
@@ -122,6 +139,8 @@ def parse(source: str) -> Node:
                 text = source[at : end.start()] if end else source[at:]
                 at = end.end() if end else n
                 node.children.append(html.unescape(text) if tag in ("title", "textarea") else text)
+            elif tag == "form" and stack[-1].tag in SECTIONS | {"table", "tr"}:
+                pass  # between the parts of a table it holds nothing
             elif tag not in VOID and not (found[3] or "").endswith("/"):
                 stack.append(node)
     return root
@@ -193,6 +212,8 @@ def render(root: Node, depth: int = 0) -> tuple[str, dict[str, int]]:
         if what == "close":
             if block:
                 page.block(tag in SPACED and not (tag in ("ul", "ol", "menu") and len(counters) > 1))
+            if tag == "text":
+                page.space = True
             if tag in ("ul", "ol", "menu"):
                 counters.pop()
             if tag in ("li", "blockquote", "dd"):
@@ -208,6 +229,10 @@ def render(root: Node, depth: int = 0) -> tuple[str, dict[str, int]]:
             if node.attributes.get("type", "").lower() in ("button", "submit", "reset") and node.attributes.get("value"):
                 page.text(node.attributes["value"], False)
             continue
+        if tag in ("option", "optgroup") and node.attributes.get("label"):
+            node.children = [node.attributes["label"], *(node.children if tag == "optgroup" else [])]
+        if tag == "text":  # a label of a drawing
+            page.space = True
         if tag == "table" and depth < DEEPEST:
             page.block(True)
             n["tables"] += 1
@@ -252,15 +277,27 @@ def _rows(table: Node) -> list[Node]:
     return found["thead"] + found[""] + found["tfoot"]
 
 
+def _outside(table: Node) -> Node:
+    """What stands in a table, its sections and rows but in no cell. Browsers move it out, also out of hidden rows."""
+    out, todo = Node("div"), [table]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Node) and (node is table or node.tag in SECTIONS | {"tr"}):
+            todo += reversed(node.children)
+        elif isinstance(node, str) and not node.isspace() or isinstance(node, Node) and node.tag not in ("td", "th", "colgroup", "col"):
+            out.children.append(node)
+    return out
+
+
 def table_lines(table: Node, n: dict[str, int], depth: int = 1) -> list[str]:
     """A table as aligned columns; text outside of cells stands before it."""
     out = []
-    outside = Node("div")
-    for c in table.children:
-        if isinstance(c, str) and not c.isspace() or isinstance(c, Node) and c.tag not in SECTIONS | {"tr", "colgroup", "col"}:
-            outside.children.append(c)
-    if outside.children and (text := render(outside, depth)[0]):
-        out += text.split("\n")
+    outside = _outside(table)
+    if outside.children:
+        text, found = render(outside, depth)
+        for k in ("lists", "tables"):
+            n[k] += found[k]
+        out += text.split("\n") if text else []
     grid: dict[tuple[int, int], list[str]] = {}
     taken: set[tuple[int, int]] = set()
     wide: dict[tuple[int, int], int] = {}

@@ -261,6 +261,15 @@ def test_html_head_ends_by_implication(source):
     assert html.extract(source)[0].strip() == "Hello"
 
 
+@pytest.mark.parametrize("source,want", [
+    ("<table><tr>x<td>a</table>", "x\na"), ("<table><tbody>x<tr><td>a</td><b>y</b></tr></tbody><tfoot><p>z</table>", "xy\n\nz\na"), ("<table><tr><form><td>A<td>B</table>", "A | B"), ("<table><form><tr><td>A</td></form><td>B</table>", "A | B"), ("<table><tr><div>q<td>A<tr><b><td>B</table>", "q\nA\nB"),
+    ("<table><tr><td><table><tr><form><td>a<td>b</table><td>c</table>", "a | b | c"), ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>t</annotation></math>", "x=2"), ("<svg><title>t</title><desc>d</desc><defs><text>e</text></defs><text>one</text><text>two</text></svg>", "one two"),
+    ("a <select><option>b<option label=c>d<optgroup label=e><option>f</select>", "a\nb\nc\ne\nf"), ("<datalist><option>x</datalist>y", "y"),
+])
+def test_html_text_outside_of_cells_and_in_drawings(source, want):
+    assert html.extract(source)[0] == want
+
+
 def test_html_depth_and_table(spark):
     assert html.extract("<div>" * 50_000 + "x")[0] == "x"
     assert "x" in html.extract("<table><tr><td>" * 200 + "x")[0]
