@@ -224,6 +224,19 @@ def test_decontamination(spark):
     assert find(spark, texts, []) == {} and find(spark, [], [(10, ITEM)]) == {}
 
 
+def test_decontamination_verbatim_short_items(spark):
+    names = "Anna Bert Carla Dora Emil Fritz Gerda Hans met Ida Jan and Karl"
+    items = [(1, "What is the capital of France?"), (2, "Which of the seven dwarfs in the old tale is never heard to speak?"), (3, names), (4, ITEM)]
+    q, long = items[0][1], items[1][1]
+    texts = [
+        (1, f"Question: {q} Answer: Paris"), (2, q.replace("of ", "of\n")), (3, f"so, {q.lower()}"), (4, "Rome is the capital of Italy, and note: Rome is the capital of Italy."), (5, f"Question: {long}"), (6, long.replace("the ", "the\n  ")), (7, "they said " + names),
+        (8, f"note: {ITEM}".replace(" at ", "\n> at\n").replace("buys ", "buys\n")), (9, "What is the capital of Spain?"), (10, "Question: " + long.replace("Which", "What").replace("dwarfs", "giants")),
+    ]
+    got = find(spark, texts, items)
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 2), (6, 2), (7, 3), (8, 4), (9, 1)}
+    assert all(r.verbatim == (k != (9, 1)) for k, r in got.items()) and got[1, 1].at == 1 and got[3, 1].at == 1
+
+
 def test_decontamination_slots_must_agree(spark):
     item = "then Anna gave the ball to her brother and after lunch Anna took the ball back while nobody else in the room was looking at Anna closely"
     same, mixed = item.replace("Anna", "Eva"), item.replace("Anna", "Eva", 1).replace("Anna", "Ida", 1).replace("Anna", "Uma")
