@@ -3,7 +3,8 @@
 The histogram has at most ``capacity`` entries whatever the corpus, so the program is solved on the driver:
 multiplicative weights raise the price of lengths that are covered least, a knapsack dynamic program finds the
 most valuable sequence at these prices, and each such configuration gets a share of the fractional solution.
-Shares are rounded down to whole sequences; what is left is packed by best fit on the histogram.
+Shares are rounded down to whole sequences; what is left is packed by best fit on the histogram. Where in the program
+best fit takes over is chosen by the number of sequences, so a plan never has more than best fit alone.
 
 The plan names only lengths. A piece finds its place by its rank among the pieces of its length, and ranks come
 from counts per (task, length), so no length is ever gathered in one task. Pieces of full length need no plan.
@@ -27,8 +28,8 @@ from quire.llm.common import materialize, text_slices
 from quire.llm.tokens import VOCABULARY, Encoder
 
 
-#: how full a configuration must be to be used
-FULL = 0.998
+#: leading parts of the program that are tried: all configurations down to the first that is less full
+FULL = (0.998, 0.995, 0.99, 0.98, 0.95, 0.9, 0.8, 0.5)
 
 
 def best_value(prices: np.ndarray, capacity: int) -> np.ndarray:
@@ -78,8 +79,6 @@ def solve(histogram: np.ndarray, rounds: int = 400, rate: float = 0.25, steepnes
         if share < 1:
             rare |= used & (left < pattern)
             continue
-        if (pattern * room).sum() < FULL:
-            break
         share = max(1.0, np.floor(share * rate))
         found.append((pattern, share))
         left -= pattern * share
@@ -116,16 +115,34 @@ def best_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def plan(histogram: np.ndarray, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """Whole sequences that hold every piece once: (pieces of each length, number of such sequences)."""
+    """Whole sequences that hold every piece once: (pieces of each length, number of such sequences).
+
+    The program covers all lengths, but its last configurations are of what was left over. Best fit packs what comes after
+    a leading part of it; of such parts, the whole program and none of it, the one with fewest sequences is taken.
+    """
     left = histogram.astype(np.int64).copy()
-    out = []
-    for pattern, share in solve(left, rounds):
-        used = pattern > 0
-        count = min(int(share), int((left[used] // pattern[used]).min()))
-        if count > 0:
-            out.append((pattern, count))
-            left -= pattern * count
-    return out + best_fit(left)
+    sizes = np.arange(1, len(left) + 1)
+    least = -(-int(left @ sizes) // len(left))  # no plan has fewer
+    found = solve(left, rounds)
+    fill = [int(p @ sizes) / len(left) for p, _ in found]
+    ends = {next((i for i, f in enumerate(fill) if f < full), len(fill)) for full in FULL} | {0, len(fill)}
+    best: list[tuple[np.ndarray, int]] | None = None
+    fewest, out, at = 0, [], 0
+    for end in sorted(ends):
+        for pattern, share in found[at:end]:
+            used = pattern > 0
+            count = min(int(share), int((left[used] // pattern[used]).min()))
+            if count > 0:
+                out.append((pattern, count))
+                left -= pattern * count
+        at = end
+        groups = out + best_fit(left)
+        n = sum(k for _, k in groups)
+        if best is None or n < fewest:
+            best, fewest = groups, n
+        if fewest == least:
+            break
+    return best
 
 
 def places(groups: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
