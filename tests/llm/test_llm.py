@@ -206,6 +206,16 @@ def test_packing_plan_is_near_the_bound():
     assert sum(n for _, n in packing.plan(hard)) <= 1300 * 1.02
 
 
+@pytest.mark.parametrize("counts,most", [({400: 1000, 310: 2000}, 1000), ({600: 500, 400: 500}, 500), ({500: 3, 7: 1}, 2), ({}, 0)])
+def test_packing_plan_of_coarse_lengths(counts, most):
+    histogram = np.zeros(1024, dtype=int)
+    for length, n in counts.items():
+        histogram[length - 1] = n
+    groups = packing.plan(histogram)
+    assert (sum((p * n for p, n in groups), np.zeros(1024, dtype=int)) == histogram).all()
+    assert sum(n for _, n in groups) == most <= sum(n for _, n in packing.best_fit(histogram))
+
+
 ITEM = "What is the total price when Anna buys 12 red apples and 7 green pears for 3 dollars each at the market near the old stone bridge"
 
 
@@ -456,3 +466,18 @@ def test_pipeline(spark):
     assert fourth.columns == names and fourth.count() <= third.count()
     last = stages["best-fit packing"](spark, fourth, SF).collect()
     check_packing(last, [(r.doc_id, r.text) for r in fourth.collect()])
+
+
+def test_pipeline_keeps_rows_with_null_or_repeated_ids(spark):
+    apart = "quite another text that says nothing of what the others say"
+    texts = Counter([(5, BASE), (3, "one two"), (9, LONG), (None, "no id here at all"), (None, "no id here at all"), (None, apart), (7, apart), (2, "   \n\t "), (1, ""), (0, None), (11, "x" * 500), (12, ODD[12][1]), (13, ODD[13][1]), (14, "12345 !!! 99"), (14, "a second text under this id"), (15, ODD[16][1])])
+    docs = odd(spark, [*ODD, (None, "no id here at all", "en"), (None, apart, "en"), (7, apart, "en"), (14, "a second text under this id", "en"), (1, "", "fr")])
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["MinHash near-dedup"](spark, docs, SF)
+    assert first.columns == docs.columns and Counter((r.doc_id, r.text) for r in first.collect()) == texts
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").first().text
+    more = odd(spark, [(1, "k" * 50 + BASE, "en"), (1, BASE + "l" * 50, "en"), (None, BASE, "en"), (2, item, "en"), (2, apart, "en"), (None, item, "en"), (None, apart, "en")])
+    cut = stages["suffix-array dedup"](spark, more, SF).collect()
+    assert sum(BASE in r.text for r in cut) == 1 and Counter(r.doc_id for r in cut) == Counter({None: 3, 1: 2, 2: 1})
+    clean = stages["benchmark decontamination"](spark, more, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in clean) == Counter((r.doc_id, r.text) for r in more.collect() if r.text != item)
