@@ -471,6 +471,10 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
     off: list = []
     report: Counter = Counter()
     labels: list = []
+    # of the forms: resources and appearance (the first of a name holds), fields in the order of computation
+    resources: dict[str, dict] = {}
+    look, need = None, False
+    computed: list = []
     for i, doc in enumerate(documents):
         doc.readable()
         found = doc.pages()
@@ -534,6 +538,13 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
             fields.append((new, free if free != name else None))
             if free != name:
                 report["renamed_fields"] += 1
+        for kind, own in doc.dict(form.get("DR")).items():
+            own = doc.get(own)
+            if isinstance(own, dict):
+                into = resources.setdefault(kind, {})
+                into |= {k: moved(x) for k, x in own.items() if k not in into}
+        look = look or (a if isinstance(a := doc.get(form.get("DA")), Str) else None)
+        need = need or doc.get(form.get("NeedAppearances")) is True
         oc = doc.dict(doc.catalog.get("OCProperties"))
         layers += [moved(x) for x in doc.list(oc.get("OCGs"))]
         off += [moved(x) for x in doc.list(doc.dict(oc.get("D")).get("OFF"))]
@@ -554,6 +565,7 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
             num = todo.pop()
             v = doc.object(num)
             objects[number[num]] = moved(v)
+        computed += [Ref(number[x.num]) for x in doc.list(form.get("CO")) if isinstance(x, Ref) and x.num in number]
         for k in [doc.dict(f).get("Kids") for f in doc.list(form.get("Fields"))]:
             for x in doc.list(k):
                 if isinstance(x, Ref) and x.num in number and isinstance(objects[number[x.num]], dict):
@@ -576,7 +588,7 @@ def merge(documents: list[Document], pages: list[list[int] | None] | None = None
                 target = objects[v.num] if isinstance(v, Ref) else v
                 target["T"] = renamed
             kept.append(v)
-        catalog["AcroForm"] = {"Fields": kept}
+        catalog["AcroForm"] = {"Fields": kept} | ({"DR": resources} if resources else {}) | ({"DA": look} if look else {}) | ({"NeedAppearances": True} if need else {}) | ({"CO": computed} if computed else {})
         report["fields"] = len(kept)
     if layers:
         catalog["OCProperties"] = {"OCGs": layers, "D": {"Order": layers, "OFF": off}}

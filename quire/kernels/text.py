@@ -142,6 +142,7 @@ class Font:
         self.composite = doc.get(d.get("Subtype")) == "Type0"
         u = doc.get(d.get("ToUnicode"))
         self.unicode = CMap(doc.decoded(u) or b"") if isinstance(u, Stream) else None
+        self.identity = isinstance(u, Name) and u.startswith("Identity")  # codes are UTF-16 units
         self.scale = 0.001
         if self.composite:
             self._composite()
@@ -153,6 +154,9 @@ class Font:
         e = doc.get(d.get("Encoding"))
         base = doc.get(e.get("BaseEncoding")) if isinstance(e, dict) else e
         table = list(ENCODINGS.get(str(base), ENCODINGS["StandardEncoding"]))
+        told = self.identity or self.unicode and (self.unicode.single or self.unicode.ranges)
+        if str(base) not in ENCODINGS and not told and doc.get(d.get("Subtype")) != "TrueType":
+            table = self._built_in() or table
         if isinstance(e, dict):
             code = 0
             for x in doc.list(e.get("Differences")):
@@ -176,6 +180,17 @@ class Font:
         name = str(doc.get(d.get("BaseFont")) or "")
         self.fixed = 600 if "Courier" in name else None
 
+    def _built_in(self) -> list[str | None] | None:
+        """The encoding in the readable part of an embedded Type1 program."""
+        doc, d = self.doc, self.dict
+        program = doc.get(doc.dict(d.get("FontDescriptor")).get("FontFile"))
+        if not isinstance(program, Stream) or re.search("symbol|dingbat|wingding|webding|marlett", str(doc.get(d.get("BaseFont")) or "").lower()):
+            return None
+        length = doc.get(program.dict.get("Length1"))
+        data = (doc.decoded(program) or b"")[: min(length if isinstance(length, int) and length > 0 else 1 << 16, 1 << 17)]
+        names = {int(m[1]): m[2].decode("latin-1") for m in re.finditer(rb"dup\s+(\d+)\s*/([^\s/\[\]{}()<>%]+)\s+put", data) if len(m[1]) < 4 and int(m[1]) < 256}
+        return [glyph_text(names[c]) if c in names else None for c in range(256)] if names else None
+
     def _composite(self) -> None:
         doc, d = self.doc, self.dict
         e = doc.get(d.get("Encoding"))
@@ -202,6 +217,8 @@ class Font:
 
     def _code(self, code: int, size: int) -> tuple[str, float]:
         text = self.unicode.lookup(size, code) if self.unicode else None
+        if self.identity:
+            text = "" if 0xD800 <= code & 0xFFFF < 0xE000 else chr(code & 0xFFFF)
         if text is None and self.unicode and not self.composite:
             text = self.unicode.lookup(2, code)
         if not isinstance(text, str):
@@ -244,6 +261,8 @@ class Font:
             found = self.known.get((code, size))
             if found is None:
                 found = self.known[code, size] = self._code(code, size)
+            if self.identity and size == 2 and 0xD800 <= code < 0xDC00:  # half of a character: the next code is the other
+                found = clean(data[at - 2 : at + 2].decode("utf-16-be", "ignore")), found[1]
             yield code, *found, size == 1 and code == 32
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from quire.kernels import crypto, filters, image, read, rewrite, text
 from quire.kernels.document import Document, PdfEncryptedError, PdfFormatError, PdfPasswordError
-from quire.kernels.syntax import Name, Reader, Ref, Str, decode_text, encode_text, serialize
+from quire.kernels.syntax import Name, Reader, Ref, Str, Stream, decode_text, encode_text, serialize
 from quire.kernels.write import Builder, update, write
 from quire.plans import synth
 
@@ -211,6 +211,36 @@ def test_merging():
     assert [x["title"] for x in read.outline(m)] == ["Document 1", "Document 2", "Document 3"]
 
 
+def test_merging_keeps_what_forms_share():
+    def form(size, font):
+        b = Builder()
+        b.page()
+        f = b.add({"T": encode_text("f"), "FT": Name("Tx"), "V": encode_text(font)})
+        own = b.add({"Type": Name("Font"), "BaseFont": Name(font)})
+        b.catalog["AcroForm"] = {"Fields": [f], "DR": {"Font": {"Helv": own, font: own}}, "DA": Str(b"/Helv %d Tf" % size), "CO": [f], "NeedAppearances": size == 9}
+        return b.build()
+
+    m = Document(rewrite.merge([Document(form(8, "A")), Document(form(9, "B"))])[0])
+    got = m.dict(m.catalog["AcroForm"])
+    fonts = {k: m.dict(v)["BaseFont"] for k, v in m.dict(m.dict(got["DR"])["Font"]).items()}
+    assert fonts == {"Helv": "A", "A": "A", "B": "B"} and got["DA"] == Str(b"/Helv 8 Tf") and got["NeedAppearances"] is True
+    assert m.list(got["CO"]) == m.list(got["Fields"]) and len(got["CO"]) == 2
+
+
+def test_fonts_tell_their_codes():
+    b = Builder()
+    child = b.add({"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "DW": 500})
+    b.objects[b.font.num] = {"Type": Name("Font"), "Subtype": Name("Type0"), "Encoding": Name("Identity-H"), "DescendantFonts": [child], "ToUnicode": Name("Identity-H")}
+    b.page(b"BT /F1 10 Tf <0041 00E9 D83D DE00 D83D> Tj ET")
+    assert texts(b.build()) == ["Aé😀"]
+    for extra, want in (({}, "éb"), ({"Encoding": Name("WinAnsiEncoding")}, "ABC"), ({"Encoding": {"Differences": [67, Name("c")]}}, "ébc")):
+        b = Builder()
+        program = b.add(Stream({}, b"%!FontType1\n/Encoding 256 array\ndup 65 /eacute put\ndup 66/b put\nreadonly def currentfile eexec"))
+        b.objects[b.font.num] = {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("ABCDEF+Own"), "FontDescriptor": b.add({"Type": Name("FontDescriptor"), "FontFile": program})} | extra
+        b.page(b"BT /F1 10 Tf (ABC) Tj ET")
+        assert [t.strip() for t in texts(b.build())] == [want]
+
+
 def test_fonts():
     assert text.glyph_text("Eacute") == "É" and text.glyph_text("uni00410042") == "AB" and text.glyph_text("f_i") == "fi" and text.glyph_text("alpha") == "α" and text.glyph_text("nope") is None
     b = Builder()
