@@ -4,9 +4,9 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. The sketc
 sizes are dealt to different numbers of buckets, so that a bucket holds four shingles or more: a level is a number of
 buckets, and a small set is dealt again and again, by other hashes, until there are 256 buckets (a set near the border of two
 levels is sketched at both, so sets of which one is up to a third larger always share a level). A bucket keeps its least hash as a
-compressed register: the number of leading zeros (6 bits) and the next ten mantissa bits. Bands of six registers
-propose pairs: at similarity 0.75 all 42 bands miss a pair with a chance of 3e-4, at 0.8 of 3e-6; at 0.3 some band
-proposes it with a chance of 0.03. Proposed pairs are judged by the Jaccard estimate with register collisions corrected,
+compressed register: the number of leading zeros (6 bits) and the next ten mantissa bits. Bands of five registers
+propose pairs: at similarity 0.75 all 51 bands miss a pair with a chance of 1e-6, at 0.8 of 2e-9; at 0.3 some band
+proposes it with a chance of 0.12. Proposed pairs are judged by the Jaccard estimate with register collisions corrected,
 and those not clearly below the threshold are confirmed on the sets.
 
 Scale. Documents with equal sets form a class, found by an aggregate over set fingerprints; only class
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import U, WordHashes, fold, materialize, mix, text_slices
 
-WORDS, BAND, REGISTERS, MANTISSA = 5, 6, 256, 10
+WORDS, BAND, REGISTERS, MANTISSA = 5, 5, 256, 10
 _K = [U(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(WORDS)]
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U))
 #: ids that may be broadcast to pick texts (under 10 MB); more are joined by a shuffle

@@ -73,6 +73,10 @@ def test_minhash_chain_and_centres(spark):
     assert {r.doc_id: r.component_id for r in got} == components([(i, t) for i, t, _ in rows])
 
 
+def test_minhash_bands_miss_next_to_nothing():
+    assert (1 - 0.75**minhash.BAND) ** (minhash.REGISTERS // minhash.BAND) < 1e-5
+
+
 def test_minhash_odd(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd(spark)).collect()]
     least = components([(i, t) for i, t, _ in ODD])
