@@ -7,6 +7,8 @@ costs a task rerun and never a lost intermediate result.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,16 +21,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text a Python worker handles at once, in bytes: bounds its memory whatever the partition size.
 BLOCK_BYTES = 4 << 20
+#: Arrow batches between the JVM and Python workers, in bytes; Spark's own default (64 MB) costs an executor hundreds of MB.
+ARROW_BYTES = 16 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of ``ARROW_BYTES`` at most; a smaller bound of the user's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(ARROW_BYTES))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder of the session; one is made only where none is set (tests)."""
+    """The shared scratch folder of the session; one is made only where none is set and Spark runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quire_scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark._quire_scratch = found
     return found.rstrip("/")
@@ -53,6 +67,13 @@ def partitions(df: DataFrame) -> int:
 _HELD: list = [None]
 
 
+def release() -> None:
+    """Give freed memory of this process back: a worker process outlives its task, and executors count its pages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, cache=None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of text (one row at least).
 
@@ -60,6 +81,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
     """
     if _HELD[0] is not None and _HELD[0] is not cache:
         _HELD[0].clear()
+        release()
     _HELD[0] = cache
     for batch in batches:
         if not batch.num_rows:
@@ -72,6 +94,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def fold(text: str | None) -> list[bytes]:

@@ -1,9 +1,10 @@
 """Operator 3: token ids in Arrow stream files of fixed-size sequences, and the encoder that operator 4 shares.
 
-``Encoder`` gives the ids that the ``tokenizers`` library gives for whole texts. Byte-level BPE never joins
-pre-tokens, and a single blank or line feed between two visible characters always ends one, so a text made
+``Encoder`` gives the ids that the ``tokenizers`` library gives for whole texts with its own settings. Byte-level BPE
+never joins pre-tokens, and a single blank or line feed between two visible characters always ends one, so a text made
 of visible runs with single separators is the concatenation of its runs' ids; every distinct run is encoded
-once by the library and remembered (bounded). Any other text (double blanks, blanks at an end) is encoded whole.
+once by the library and remembered (bounded). Any other text (double blanks, blanks at an end, an added token of the
+vocabulary such as ``<|endoftext|>``, which the library reads as one id) is encoded whole.
 
 ``write_token_files`` lays documents out in ascending ``doc_id`` order: documents are range-partitioned, each
 partition becomes one shard, and only the shards' totals (one row a file) go through the driver.
@@ -21,6 +22,7 @@ another; a null ``doc_id`` sorts first; an empty table gives no file and no row;
 from __future__ import annotations
 
 import itertools
+import operator
 import os
 import string
 import uuid
@@ -39,7 +41,6 @@ from quire.llm.common import new_path, text_slices
 #: Default vocabulary, looked up where the public tokenizer files are installed; any path may be given.
 VOCABULARY = "byte_bpe_50k.json"
 MARKS = string.punctuation
-_ODD = regex.compile(r"\s\s|^\s|\s\Z")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -55,7 +56,10 @@ class Encoder:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: what makes a text one to be encoded whole: adjacent separators or an added token somewhere
+        self.stops = ["  ", " \n", "\n ", "\n\n", *added]
+        self.odd = regex.compile(r"\s\s")
         names = self.tokenizer.get_vocab()
         self.size = max(names.values()) + 1
         #: ids that can only stand where a run begins: those that begin with a blank, and the lone line feed
@@ -74,16 +78,28 @@ class Encoder:
         return _ENCODERS[vocabulary]
 
     def clear(self) -> None:
+        """Forget everything, and leave the worker to another operator."""
         self.known, self.tails = {}, {}
+        for name in [k for k, e in _ENCODERS.items() if e is self]:
+            del _ENCODERS[name]
+
+    def runs(self, text: str) -> list[str] | None:
+        """The visible runs of a text, those after a line feed with it before them; None where it has to be encoded whole."""
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in self.stops):
+            return None
+        pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        if len(text.split()) != len(pieces) and self.odd.search(text):  # other white space too
+            return None
+        return pieces
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, runs: list[str]) -> None:
         for at in range(0, len(runs), 5000):
             part = [r if r[0] == "\n" else " " + r for r in runs[at : at + 5000]]
             # a few runs a call: the library is slower on longer texts
-            found = self.tokenizer.encode_batch(["".join(part[i : i + 24]) for i in range(0, len(part), 24)], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(["".join(part[i : i + 24]) for i in range(0, len(part), 24)], add_special_tokens=False)
             ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), dtype="<u4")
             starts = np.flatnonzero(self.begins[ids])
             if len(starts) == len(part):
@@ -94,41 +110,44 @@ class Encoder:
 
     def _meet(self, new: set[str]) -> None:
         """Make runs known. A letter and a mark after it are never one pre-token: a run that ends in marks is its parts."""
-        parted = {}
+        whole, parted, stems = [], [], []
         for run in new:
             stem = run.rstrip(MARKS)
-            if len(stem) < len(run) and stem[-1:].isalpha():
-                parted[run] = stem, run[len(stem) :]
-        stems = {stem for stem, _ in parted.values()}
-        self._learn(list(((new - parted.keys()) | stems) - self.known.keys()))
-        tails = list({tail for _, tail in parted.values()} - self.tails.keys())
-        if len(self.tails) + len(tails) > self.remember:
-            self.tails.clear()
-            tails = list({tail for _, tail in parted.values()})
-        self.tails.update(zip(tails, self._whole(tails) if tails else []))
-        known, ends = self.known, self.tails
-        known.update({run: known[stem] + ends[tail] for run, (stem, tail) in parted.items()})
+            if stem != run and stem[-1:].isalpha():
+                parted.append(run)
+                stems.append(stem)
+            else:
+                whole.append(run)
+        self._learn(list(set(stems).difference(self.known).union(whole)))
+        tails = [run[len(stem) :] for run, stem in zip(parted, stems)]
+        if len(self.tails) + len(set(tails)) > self.remember:
+            self.tails = {}
+        fresh = list(set(tails).difference(self.tails))
+        self.tails.update(zip(fresh, self._whole(fresh) if fresh else []))
+        heads, ends = map(self.known.__getitem__, stems), map(self.tails.__getitem__, tails)
+        self.known.update(zip(parted, map(operator.add, heads, ends)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; texts should come in blocks, for new runs are encoded a block at a time."""
-        out: list[bytes | None] = [None] * len(texts)
+        out: list[bytes | None] = [b""] * len(texts)
         runs: dict[int, list[str]] = {}
         odd = []
         for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif _ODD.search(text):
-                odd.append(i)
-            else:
-                runs[i] = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        distinct = set().union(*runs.values()) if runs else set()
-        new = distinct - self.known.keys()
+            if text:
+                pieces = self.runs(text)
+                if pieces is None:
+                    odd.append(i)
+                else:
+                    runs[i] = pieces
+        distinct = set().union(*runs.values())
+        new = distinct.difference(self.known)
         if len(self.known) + len(new) > self.remember:
-            self.known.clear()
+            self.known = {}
             new = distinct
         self._meet(new)
+        known = self.known.__getitem__
         for i, pieces in runs.items():
-            out[i] = b"".join(map(self.known.__getitem__, pieces))[4:]  # without the line feed put before the text
+            out[i] = b"".join(map(known, pieces))[4:]  # without the line feed put before the text
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]) if odd else []):
             out[i] = ids
         return out
