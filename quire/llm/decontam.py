@@ -38,32 +38,62 @@ BROADCAST_ROWS = 500_000
 
 
 def marked(text: Column) -> Column:
-    """Words of a text, lower-cased, slots with their mark before the value."""
-    t = F.regexp_replace(text, "(?: [\\s\\p{Z}]|[\\s\\p{Z}&&[^ ]])[\\s\\p{Z}]*", " ")  # a break in a line is a blank
-    t = F.regexp_replace(t, "(?<=[\\p{L}\\p{N},;:] )(?=\\p{Lu}\\p{Ll})", NAME)
-    t = F.regexp_replace(t, "(?<!\\p{N})(?=\\p{N})", NUMBER)
-    t = F.regexp_replace(F.lower(t), f"({NUMBER}\\p{{N}}+) ?({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2")
-    return F.trim(F.regexp_replace(t, f"[^\\p{{L}}\\p{{M}}\\p{{N}}{NAME}{NUMBER}{UNIT}]+", " "))
+    """The words of a text, lower-cased, slots with their mark before the value."""
+    blank = "[\\s\\p{Z}]"  # a break in a line is a blank
+    t = F.regexp_replace(text, f"([\\p{{L}}\\p{{N}},;:]{blank}+)(?=\\p{{Lu}}\\p{{Ll}})", f"$1{NAME}")
+    t = F.regexp_replace(t, "(\\p{N}+)", f"{NUMBER}$1")
+    t = F.regexp_replace(F.lower(t), f"({NUMBER}\\p{{N}}+){blank}*({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2")
+    return F.array_remove(F.split(t, f"[^a-z\\p{{L}}\\p{{M}}\\p{{N}}{NAME}{NUMBER}{UNIT}]+"), "")
 
 
 def templates(words: Column) -> Column:
-    """The same words with the slots' values left out."""
+    """A word, or words with blanks between them, with the slots' values left out."""
     return F.regexp_replace(words, f"([{NAME}{NUMBER}{UNIT}])[\\p{{L}}\\p{{M}}\\p{{N}}]+", "$1")
 
 
-def windows(template: Column, size: int, exact: bool = False) -> Column:
-    """Hash of each window of ``size`` words, by position."""
-    kind = [F.lit(EXACT)] if exact else []
+def word_hashes(words: Column, exact: bool = False) -> Column:
+    """A hash of each marked word, in order: of the word with its slots' values left out, or (exact) without marks."""
 
-    def hashes(words: Column) -> Column:
-        return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*kind, F.slice(words, i + 1, size))))
+    def one(w: Column) -> Column:
+        slot = w.contains(NAME) | w.contains(NUMBER) | w.contains(UNIT)
+        return F.when(slot, F.xxhash64(bare(w) if exact else templates(w))).otherwise(F.xxhash64(w))
 
-    # words are bound to a variable, or each window would split the text anew
-    return F.transform(F.array(F.split(template, " ")), hashes)[0]
+    return F.transform(words, one)
+
+
+def _joined(values: Column, by: int, *more: Column) -> Column:
+    """Hashes of each value with the one ``by`` places on."""
+    n = F.greatest(F.lit(0), F.size(values) - by)
+    return F.zip_with(F.slice(values, 1, n), F.slice(values, by + 1, n), lambda x, y: F.xxhash64(x, y, *more))
+
+
+def windows(hashes: Column, sizes: list[int], exact: bool = False) -> list[Column]:
+    """For each size from ``SHORTEST`` to ``WINDOW``: a hash of each window of so many words, by position.
+
+    Windows of two, four and eight words are hashes of two halves; those between of two windows of four that overlap.
+    """
+    kind = F.lit(EXACT if exact else "")
+
+    def pairs(one: Column) -> Column:
+        return _bound(_joined(one, 1), fours)
+
+    def fours(two: Column) -> Column:
+        return _bound(_joined(two, 2), every)
+
+    def every(four: Column) -> Column:
+        return F.array(*(_joined(four, size - 4, F.lit(size), kind) for size in sizes))
+
+    found = _bound(hashes, pairs)
+    return [found[i] for i in range(len(sizes))]
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: it is bound to a variable, not repeated where it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def bare(words: Column) -> Column:
-    """The same words without marks."""
+    """A word without marks."""
     for mark in (NAME, NUMBER, UNIT):
         words = F.replace(words, F.lit(mark), F.lit(""))
     return words
@@ -73,13 +103,16 @@ def _item_windows(items: DataFrame) -> DataFrame:
     """entry, item_id, exact (plain words, not templates), size, at, raw, window, plain (no slot in it): distinct windows."""
     told = F.regexp_replace(F.col("text"), "^[^\\p{L}\\p{N}]+", "")
     words = items.where("text is not null").select("item_id", marked(F.col("text")).alias("words"), marked(F.concat(F.lit(": "), told)).alias("inside"))
-    words = words.withColumn("entry", F.monotonically_increasing_id()).withColumn("raw", F.split("inside", " "))
-    forms = [(False, templates(F.col("words"))), (False, templates(F.col("inside"))), (True, bare(F.col("words")))]
-    words = words.select("entry", "item_id", "raw", F.explode(F.array(*(F.struct(F.lit(e).alias("exact"), F.split(t, " ").alias("t")) for e, t in forms))).alias("form"))
+    words = words.withColumn("entry", F.monotonically_increasing_id()).withColumn("raw", F.col("inside"))
+    forms = [(exact, F.transform(c, bare if exact else templates)) for exact, c in ((False, "words"), (False, "inside"), (True, "words"))]
+    words = words.select("entry", "item_id", "raw", F.explode(F.array(*(F.struct(F.lit(e).alias("exact"), t.alias("t")) for e, t in forms))).alias("form"))
     words = words.select("entry", "item_id", "raw", "form.*").withColumn("size", F.least(F.lit(WINDOW), F.size("t"))).where(f"size >= {SHORTEST}")
     cut = words.select("entry", "item_id", "exact", "size", "raw", F.posexplode(F.expr("transform(array(t), v -> transform(sequence(0, size(v) - size), i -> slice(v, i + 1, size)))[0]")).alias("at", "w"))
     cut = cut.withColumn("slots", F.expr(f"size(filter(w, x -> x rlike '[{NAME}{NUMBER}{UNIT}]'))")).where(F.col("exact") | (F.col("size") - F.col("slots") >= F.least(F.lit(LITERALS), F.col("size") - 1)))
-    window = F.when(F.col("exact"), F.xxhash64(F.lit(EXACT), "w")).otherwise(F.xxhash64("w"))
+    # a window of ``size`` words is hashed as in documents: its own words are all there is
+    sizes = list(range(SHORTEST, WINDOW + 1))
+    hashed = {exact: F.array(*windows(word_hashes(F.col("w"), exact), sizes, exact))[F.col("size") - SHORTEST][0] for exact in (False, True)}
+    window = F.when(F.col("exact"), hashed[True]).otherwise(hashed[False])
     return cut.select("entry", "item_id", "exact", "size", "at", "raw", window.alias("window"), (F.col("slots") == 0).alias("plain")).dropDuplicates(["entry", "exact", "at", "window"])
 
 
@@ -93,13 +126,14 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, item_windows long, at long, verbatim boolean")
     # all kinds and sizes of windows in one reading: their arrays are put in a row, ``before`` is where one begins
     kinds = sorted(info)
-    told = F.concat(*(F.coalesce(windows(bare(F.col("words")) if exact else templates(F.col("words")), size, exact), F.array().cast("array<bigint>")) for exact, size in kinds))
+    sizes = {exact: [size for e, size in kinds if e == exact] for exact in (False, True)}
+    told = F.concat(*(w for exact in (False, True) if sizes[exact] for w in windows(word_hashes(F.col("words"), exact), sizes[exact], exact)))
     before, sofar = F.lit(0), F.lit(0)
     for (exact, size), (_, last) in zip(kinds[1:], kinds):
         sofar = sofar + F.greatest(F.lit(0), F.col("n_words") - last + 1)
         before = F.when((F.col("exact") == exact) & (F.col("size") == size), sofar).otherwise(before)
     mine = found.select("entry", "item_id", "exact", "size", F.col("at").alias("item_at"), "window", "plain")
-    told = texts.select("doc_id", F.size(F.split("words", " ")).alias("n_words"), F.posexplode(told).alias("place", "window"))
+    told = texts.select("doc_id", F.size("words").alias("n_words"), F.posexplode(told).alias("place", "window"))
     hits = told.join(F.broadcast(mine) if sum(info.values()) <= BROADCAST_ROWS else mine, "window").withColumn("at", F.col("place") - before)
     aligned = hits.groupBy("doc_id", "entry", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("matched"), F.countDistinct(F.when(F.col("plain"), F.col("item_at"))).alias("plain"))
     aligned = aligned.join(counts, ["entry", "exact"]).withColumn("needed", F.least(F.col("item_windows"), F.lit(LEAST_WINDOWS))).where("matched >= needed")
@@ -108,7 +142,7 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     open_ = aligned.where("not exact and plain < item_windows").join(found.groupBy("entry").agg(F.first("raw").alias("item_words")), "entry").select("doc_id", "entry", "shift", "item_words")
     open_ = materialize(open_, "open-alignments")
     near = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS // 10 else open_
-    beside = "transform(array(split(words, ' ')), w -> transform(sequence(greatest(0, -shift), least(size(item_words), size(w) - shift) - 1), i -> struct(item_words[i] as a, w[i + shift] as b)))[0]"
+    beside = "transform(array(words), w -> transform(sequence(greatest(0, -shift), least(size(item_words), size(w) - shift) - 1), i -> struct(item_words[i] as a, w[i + shift] as b)))[0]"
     pairs = texts.join(near, "doc_id").select("doc_id", "entry", "shift", F.explode(F.expr(beside)).alias("p"))
     # same kind of slot on both sides, one value of the item against one of the document
     slots = pairs.where(F.col("p.a").rlike(f"[{NAME}{NUMBER}{UNIT}]") & (templates(F.col("p.a")) == templates(F.col("p.b"))))

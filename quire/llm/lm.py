@@ -37,7 +37,7 @@ from quire.llm.langid import held_out
 
 ORDER = 3
 #: Dirichlet mass of the lower order in contexts of one word, of two words
-PRIORS = (20.0, 5.0)
+PRIORS = (200.0, 50.0)
 START, END = U(xxhash.xxh3_64_intdigest(b" start")), U(xxhash.xxh3_64_intdigest(b" end"))
 _END, _START = 0, 1  # ids in every block's vocabulary
 _K = U(0x9E3779B97F4A7C15)
