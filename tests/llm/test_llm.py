@@ -65,11 +65,11 @@ def test_minhash_brute_force(spark):
     assert all(got[i].n_shingles == len(shingles(t)) and got[i].kept == (want[i] == i) for i, t in rows)
 
 
-def test_minhash_chain_and_centres(spark):
-    """A long chain of near copies is one component, also when few centres are taken at a time."""
+def test_minhash_chain_and_tiles(spark):
+    """A long chain of near copies is one component, also when buckets are cut to small tiles."""
     w = [f"w{i}" for i in range(120)]
     rows = [(k, " ".join(w[2 * k : 2 * k + 60]), None) for k in range(25)]
-    got = minhash.near_duplicates(odd(spark, rows), centres=1).collect()
+    got = minhash.near_duplicates(odd(spark, rows), strays=2, members=3).collect()
     assert {r.doc_id: r.component_id for r in got} == components([(i, t) for i, t, _ in rows])
 
 
@@ -77,6 +77,29 @@ def test_minhash_bands_miss_next_to_nothing():
     assert (1 - 0.75**minhash.BAND) ** (minhash.REGISTERS // minhash.BAND) < 1e-5
 
 
+def test_minhash_collisions_are_expected_ones():
+    """Sets without a common member: registers are equal as often as the correction says; and estimates are not biased."""
+    rng = np.random.default_rng(7)
+    new = lambda n: np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    same = np.mean([(minhash.sketch(new(40), 0) == minhash.sketch(new(40), 0)).mean() for _ in range(1500)])
+    assert same == pytest.approx(minhash.collisions(40, 40, 0), rel=0.25)
+    for n in (40, 2000):
+        level, got = minhash.levels(n)[0], []
+        for _ in range(60):
+            common, a, b = new(6 * n // 8), new(n // 8), new(n // 8)
+            x, y = (np.sort(np.concatenate([common, z])) for z in (a, b))
+            got.append(minhash.estimate(minhash.sketch(x, level), minhash.sketch(y, level), len(x), len(y), level))
+        assert np.mean(got) == pytest.approx(0.75, abs=0.015)
+
+
+def test_minhash_rows_that_share_an_id(spark):
+    """Both texts of an id are linked, each with its own like; a null id is alone."""
+    rows = [(14, BASE, None), (14, LONG, None), (20, BASE + " more", None), (21, LONG + " more", None), (3, "one two", None), (None, BASE, None), (20, BASE + " more", None)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd(spark, rows)).collect())
+    n, m = len(shingles(BASE)), len(shingles(LONG))
+    assert got == Counter({(14, n, 14, True): 1, (14, m, 14, True): 1, (20, n + 1, 14, False): 2, (21, m + 1, 14, False): 1, (3, 1, 3, True): 1, (None, n, None, True): 1})
+
+
 def test_minhash_odd(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd(spark)).collect()]
     least = components([(i, t) for i, t, _ in ODD])
