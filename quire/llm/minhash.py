@@ -6,8 +6,9 @@ buckets, and a small set is dealt again and again, by other hashes, until there
 levels is sketched at both, so sets of which one is up to a third larger always share a level). A bucket keeps its least hash as a
 compressed register: the number of leading zeros (6 bits) and the next ten mantissa bits. Bands of five registers
 propose pairs: at similarity 0.75 all 51 bands miss a pair with a chance of 1e-6, at 0.8 of 2e-9; at 0.3 some band
-proposes it with a chance of 0.12. Proposed pairs are judged by the Jaccard estimate, less the register collisions that are expected of sets of their sizes,
-and those not five standard errors below the threshold are confirmed on the sets.
+proposes it with a chance of 0.12. Proposed pairs are judged by the Jaccard estimate, less the register collisions that are expected of sets of their sizes;
+those not five standard errors below the threshold by a bitmap of set parities, whose distance is never greater than the sets'
+symmetric difference (so no link is lost); and what is left is confirmed on the sets.
 
 Scale. Documents with equal sets form a class, found by one aggregate over set fingerprints; only a class's
 representative (least doc_id) goes further, so thousands of copies cost one row. A band bucket is first a star: its members
@@ -40,6 +41,8 @@ from quire.llm.common import U, WordHashes, bounded, fold, materialize, mix, tex
 WORDS, BAND, REGISTERS, MANTISSA = 5, 5, 256, 10
 _K = [U(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(WORDS)]
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U))
+#: classes of the parity bitmap: 256 bytes a set
+PARITIES = 2048
 #: ids that may be broadcast to pick texts (under 10 MB); more are joined by a shuffle
 BROADCAST_IDS = 200_000
 _HASHES = WordHashes()
@@ -131,17 +134,29 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int, level: int = 0) -> fl
     return max(0.0, (same / size - chance) / (1 - chance))
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of ``PARITIES`` classes of hashes: whether the set has an odd number of them."""
+    of = (mix(hashes ^ _K[3]) >> U(64 - PARITIES.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(of, minlength=PARITIES) & 1).tobytes()
+
+
+def possible(a: np.ndarray, b: np.ndarray, n, m, percent: int) -> np.ndarray:
+    """Whether sets of n and m members with parities a and b (64-bit words) can reach the threshold."""
+    apart = np.bitwise_count(a ^ b).sum(axis=-1).astype(np.int64)  # at least so many members are in one set only
+    return 100 * (n + m - apart) >= percent * (n + m + apart)
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, print (fingerprint of the set, null if empty), registers (of one or two levels)."""
+    """doc_id, n_shingles, print (fingerprint of the set, null if empty), registers (of one or two levels), bits (parities)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, cache=_HASHES):
             found = shingle_sets(part.column("text").to_pylist())
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
             stored = [b"".join(bytes([k]) + sketch(s, k).tobytes() for k in levels(len(s))) for s in found]
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(prints, pa.binary()), pa.array(stored, pa.binary())], names=["doc_id", "n_shingles", "print", "registers"])
+            yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(prints, pa.binary()), pa.array(stored, pa.binary()), pa.array([parities(s) for s in found], pa.binary())], names=["doc_id", "n_shingles", "print", "registers", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, registers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, registers binary, bits binary")
 
 
 _STORED = np.dtype([("level", "u1"), ("registers", "<u2", REGISTERS)])
@@ -199,6 +214,10 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
 
 
+def _words(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(bits), -1)
+
+
 def margin(percent: int) -> float:
     """Estimates below this one are of pairs below the threshold."""
     j = percent / 100
@@ -212,14 +231,16 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
+            pa_, pb = (_words(batch.column(c).to_pylist()) for c in ("pa", "pb"))
+            can = possible(pa_, pb, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
             for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("ra", "rb", "na", "nb"))):
                 x, y = (dict(zip(*(f[k] for k in ("level", "registers")))) for f in (np.frombuffer(x, _STORED), np.frombuffer(y, _STORED)))
                 level = min(x.keys() & y.keys())
                 keep.append(estimate(x[level], y[level], n, m, int(level)) >= least)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield batch.filter(pa.array(np.array(keep, dtype=bool) & can)).select(["a", "b"])
 
-    side = sketches.select("doc_id", "registers", "n_shingles")
-    pairs = pairs.join(side.toDF("a", "ra", "na"), "a").join(side.toDF("b", "rb", "nb"), "b")
+    side = sketches.select("doc_id", "registers", "bits", "n_shingles")
+    pairs = pairs.join(side.toDF("a", "ra", "pa", "na"), "a").join(side.toDF("b", "rb", "pb", "nb"), "b")
     return pairs.mapInArrow(judge, "a long, b long")
 
 
@@ -246,7 +267,8 @@ def passing(band: int, strays: dict[str, np.ndarray], members: dict[str, np.ndar
             x = b[open_]
             same = ((x == a[k]) & (a[k] > 0)).sum(axis=1)
             used = ((x > 0) | (a[k] > 0)).sum(axis=1)
-            for at in open_[same >= least * used].tolist():  # the correction only lowers an estimate
+            open_ = open_[same >= least * used]  # the correction only lowers an estimate
+            for at in open_[possible(members["bits"][j[open_]], strays["bits"][i[k]], int(n), m[open_], percent)].tolist():
                 earliest = int(((kb[at] == ka[k]) & fb[at] & fa[k]).argmax())
                 if ka[k][earliest] == band and estimate(a[k], b[at], int(n), int(m[at]), level) >= least:
                     out.append((i[k], j[at]))
@@ -278,11 +300,11 @@ def compared(left: DataFrame, sketches: DataFrame, percent: int, strays: int = S
     sizes = left.groupBy("band", "component").agg(F.count("*").alias("k"))
     buckets = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("several")).where("several > 1")
     buckets = buckets.select("band", F.col("most.component").alias("largest"), F.ceil(F.col("n") / members).cast("int").alias("slots"), F.ceil((F.col("n") - F.col("most.k")) / strays).cast("int").alias("tiles"))
-    told = left.join(buckets, "band").join(sketches.select("doc_id", "registers", F.col("n_shingles").alias("n")), "doc_id")
+    told = left.join(buckets, "band").join(sketches.select("doc_id", "registers", "bits", F.col("n_shingles").alias("n")), "doc_id")
     place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     told = told.withColumn("large", F.col("component") == F.col("largest"))
-    columns = ["band", "slot", "tile", "stray", "large", "doc_id", "component", "n", "registers"]
+    columns = ["band", "slot", "tile", "stray", "large", "doc_id", "component", "n", "registers", "bits"]
     one = told.withColumn("slot", place("slots")).withColumn("tile", every("tiles")).withColumn("stray", F.lit(0)).select(columns)
     two = told.where("component != largest").withColumn("tile", place("tiles")).withColumn("slot", every("slots")).withColumn("stray", F.lit(1)).select(columns)
 
@@ -292,7 +314,7 @@ def compared(left: DataFrame, sketches: DataFrame, percent: int, strays: int = S
             sides = []
             for mask in (is_stray, ~is_stray):
                 part = rows.filter(pa.array(mask))
-                sides.append({"id": part["doc_id"].to_numpy(), "large": part["large"].to_numpy(), "component": part["component"].to_numpy(), "n": part["n"].to_numpy(), "registers": np.array(part["registers"].to_pylist(), dtype=object)})
+                sides.append({"id": part["doc_id"].to_numpy(), "large": part["large"].to_numpy(), "component": part["component"].to_numpy(), "n": part["n"].to_numpy(), "registers": np.array(part["registers"].to_pylist(), dtype=object), "bits": _words(part["bits"].to_pylist())})
             hit = passing(rows["band"][0].as_py(), *sides, percent)
             a, b = sides[0]["id"][hit[:, 0]], sides[1]["id"][hit[:, 1]]
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -362,7 +384,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, strays: int = STRAYS,
     if not named.groupBy("doc_id").agg(F.count_distinct("print").alias("n")).where("n > 1").isEmpty():
         return _by_row(docs, percent=percent, strays=strays, members=members)
     # a class of equal sets stands as its least doc_id
-    classes = materialize(named.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
+    classes = materialize(named.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bits").alias("bits")), "classes")
     rows = banded(classes)
     shared = rows.groupBy("band").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "n_shingles")).alias("first")).where("k > 1").select("band", "first")
     buckets = materialize(rows.join(shared, "band").select("band", "doc_id", "n_shingles", F.col("first.doc_id").alias("first"), F.col("first.n_shingles").alias("m")), "buckets")

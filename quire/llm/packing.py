@@ -1,10 +1,12 @@
 """Operator 4: pack documents into as few sequences as possible: configuration linear program over the length histogram.
 
-The histogram has at most ``capacity`` entries whatever the corpus, so the program is solved on the driver:
-multiplicative weights raise the price of lengths that are covered least, a knapsack dynamic program finds the
-most valuable sequence at these prices, and each such configuration gets a share of the fractional solution.
-Shares are rounded down to whole sequences; what is left is packed by best fit on the histogram. Where in the program
-best fit takes over is chosen by the number of sequences, so a plan never has more than best fit alone.
+The histogram has at most ``capacity`` entries whatever the corpus, so the program (fewest sequences, of any configuration,
+that hold each length as often as it occurs) is solved on the driver by multiplicative weights. Prices start at the lengths
+themselves. A round finds the most valuable sequences at the prices by a knapsack dynamic program, gives each a share, and
+lowers the prices of the lengths by a factor for the part of their demand that the shares cover. Prices divided by the
+value of the best sequence are a solution of the dual, so every round also gives a lower bound of the number of
+sequences. Shares are rounded to whole sequences, largest first, while pieces are left; what then is left is solved again,
+and in the end packed by best fit. Best fit alone is taken where it needs fewer sequences.
 
 The plan names only lengths. A piece finds its place by its rank among the pieces of its length, and ranks come
 from counts per (task, length), so no length is ever gathered in one task. Pieces of full length need no plan.
@@ -15,6 +17,7 @@ so that the first piece may be short; repeated rows are packed as separate docum
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,65 +27,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import materialize, text_slices
+from quire.llm.common import bounded, materialize, text_slices
 from quire.llm.tokens import VOCABULARY, Encoder
 
 
-#: leading parts of the program that are tried: all configurations down to the first that is less full
-FULL = (0.998, 0.995, 0.99, 0.98, 0.95, 0.9, 0.8, 0.5)
-
-
-def best_value(prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack by dynamic programming: the multiset of lengths that is worth most; prices[i] is of length i + 1."""
+def knapsack(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each room the value of the most valuable multiset of lengths, and a length of it (0: none); prices[i] is of length i + 1."""
+    capacity = len(prices)
     value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     lengths = np.flatnonzero(prices > 0) + 1
     worth = prices[lengths - 1]
+    usable = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
-        usable = np.searchsorted(lengths, room, side="right")
-        value[room], choice[room] = value[room - 1], 0
-        if usable:
-            got = value[room - lengths[:usable]] + worth[:usable]
+        value[room] = value[room - 1]
+        if usable[room]:
+            got = value[room - lengths[: usable[room]]] + worth[: usable[room]]
             best = int(got.argmax())
             if got[best] > value[room]:
                 value[room], choice[room] = got[best], lengths[best]
-    out, room = np.zeros(capacity, dtype=np.int64), capacity
-    while room > 0:
-        if choice[room]:
-            out[choice[room] - 1] += 1
-            room -= choice[room]
-        else:
-            room -= 1
-    return out
+    return value, choice
 
 
-def solve(histogram: np.ndarray, rounds: int = 400, rate: float = 0.25, steepness: float = 0.15) -> list[tuple[np.ndarray, float]]:
-    """Fractional solution by multiplicative weights: (configuration, share of sequences).
+def solve(histogram: np.ndarray, rounds: int = 40, step: float = 0.1, rate: float = 0.3, slack: float = 0.01) -> tuple[dict[tuple[int, ...], float], float]:
+    """Shares of configurations (lengths, longest first) by multiplicative weights, and a lower bound of the sequences.
 
-    A length's weight starts at its room and falls by a factor with each part of its demand that is covered; the
-    configuration worth most at these prices gets a share that covers ``rate`` of what its scarcest length still wants.
+    A round takes, of the most valuable sequences that hold each length, those within ``slack`` of the best one, and
+    covers at most a part ``step`` of any length's demand; a price falls by exp(-rate) for all of it.
     """
     capacity = len(histogram)
-    demand = np.maximum(histogram, 1).astype(float)
-    left = histogram.astype(float)
-    room = np.arange(1, capacity + 1) / capacity
-    rare = np.zeros(capacity, dtype=bool)  # lengths with too few pieces left to be repeated: left to the rounding
-    found: list[tuple[np.ndarray, float]] = []
+    sizes, demand = np.arange(1, capacity + 1), histogram.astype(float)
+    wanted = np.flatnonzero(demand) + 1
+    shares: dict[tuple[int, ...], float] = defaultdict(float)
+    if not len(wanted):
+        return shares, 0.0
+    prices, bound = np.where(demand > 0, sizes / capacity, 0.0), 0.0
     for _ in range(rounds):
-        open_ = (left >= 1) & ~rare
-        if not open_.any():
-            break
-        part = left / demand
-        prices = np.where(open_, room * np.exp(-steepness * (part[open_].max() - part)), 0.0)
-        pattern = best_value(prices, capacity)
-        used = pattern > 0
-        share = float((left[used] / pattern[used]).min())
-        if share < 1:
-            rare |= used & (left < pattern)
-            continue
-        share = max(1.0, np.floor(share * rate))
-        found.append((pattern, share))
-        left -= pattern * share
-    return found
+        value, choice = knapsack(prices)
+        bound = max(bound, float(demand @ prices) / value[-1])
+        holding = prices[wanted - 1] + value[capacity - wanted]
+        found = set()
+        for length in wanted[holding >= (1 - slack) * value[-1]].tolist():
+            members, room = [length], capacity - length
+            while room > 0:
+                members.append(int(choice[room])) if choice[room] else None
+                room -= max(1, int(choice[room]))
+            found.add(tuple(sorted(members, reverse=True)))
+        covered, own = np.zeros(capacity), {}
+        for members in found:
+            lengths, n = np.unique(members, return_counts=True)
+            own[members] = float((demand[lengths - 1] / n).min())
+            covered[lengths - 1] += n * own[members] / demand[lengths - 1]
+        scale = step / covered.max()
+        for members, share in own.items():
+            shares[members] += scale * share
+        prices = prices * np.exp(-rate * scale * covered)
+    return shares, bound
 
 
 def best_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -114,35 +113,36 @@ def best_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return [(p, int(n)) for groups in rooms.values() for p, n in groups]
 
 
-def plan(histogram: np.ndarray, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """Whole sequences that hold every piece once: (pieces of each length, number of such sequences).
+def rounded(shares: dict[tuple[int, ...], float], left: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Whole sequences of the program, its shares scaled to all pieces of ``left`` and rounded up while these last; takes them."""
+    sizes = np.arange(1, len(left) + 1)
+    held = sum(share * sum(members) for members, share in shares.items())
+    scale = float(left @ sizes) / held if held else 0.0
+    out = []
+    for members, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
+        pattern = np.bincount(np.array(members) - 1, minlength=len(left))
+        used = pattern > 0
+        count = min(math.ceil(scale * share), int((left[used] // pattern[used]).min()))
+        if count > 0:
+            out.append((pattern, count))
+            left -= pattern * count
+    return out
+
 
-    The program covers all lengths, but its last configurations are of what was left over. Best fit packs what comes after
-    a leading part of it; of such parts, the whole program and none of it, the one with fewest sequences is taken.
-    """
+def plan(histogram: np.ndarray, rounds: int = 40) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """Whole sequences that hold every piece once (pieces of each length, number of such sequences), and a lower bound of their number."""
     left = histogram.astype(np.int64).copy()
-    sizes = np.arange(1, len(left) + 1)
-    least = -(-int(left @ sizes) // len(left))  # no plan has fewer
-    found = solve(left, rounds)
-    fill = [int(p @ sizes) / len(left) for p, _ in found]
-    ends = {next((i for i, f in enumerate(fill) if f < full), len(fill)) for full in FULL} | {0, len(fill)}
-    best: list[tuple[np.ndarray, int]] | None = None
-    fewest, out, at = 0, [], 0
-    for end in sorted(ends):
-        for pattern, share in found[at:end]:
-            used = pattern > 0
-            count = min(int(share), int((left[used] // pattern[used]).min()))
-            if count > 0:
-                out.append((pattern, count))
-                left -= pattern * count
-        at = end
-        groups = out + best_fit(left)
-        n = sum(k for _, k in groups)
-        if best is None or n < fewest:
-            best, fewest = groups, n
-        if fewest == least:
-            break
-    return best
+    shares, bound = solve(left, rounds)
+    bound = max(math.ceil(bound - 1e-6), -(-int(left @ np.arange(1, len(left) + 1)) // len(left)))
+    out = []
+    while shares:
+        placed = rounded(shares, left)
+        out += placed
+        # a residual of a tenth or less of what was solved is left to best fit
+        shares = solve(left, rounds)[0] if 10 * sum(n for _, n in placed) > sum(n for _, n in out) else {}
+    out += best_fit(left)
+    alone = best_fit(histogram.astype(np.int64))
+    return min(out, alone, key=lambda groups: sum(n for _, n in groups)), bound
 
 
 def places(groups: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
@@ -177,7 +177,7 @@ def encode_pieces(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 400) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 40) -> DataFrame:
     """Add sequence_id and offset to rows that have a ``length`` of 1 to ``capacity``.
 
     ``pieces`` is written once to the shared folder, with the rank of each row among its task's rows of that length.
@@ -193,7 +193,7 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 400) -> DataF
         histogram[r.length - 1] = r.n
     full = int(histogram[-1])
     histogram[-1] = 0
-    groups = plan(histogram, rounds)
+    groups, bound = plan(histogram, rounds)
     table = places(groups)
     total = sum(n for _, n in groups)
     columns = [c for c in pieces.columns]
@@ -216,7 +216,7 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 400) -> DataF
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "sequence_id", "offset"])
 
     out = joined.mapInArrow(place, T.StructType([*kinds.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
-    out._quire_sequences = total + full
+    out._quire_sequences, out._quire_bound = total + full, bound + full
     return out
 
 
@@ -242,8 +242,9 @@ def _ranked(pieces: DataFrame, task: str, rank: str) -> DataFrame:
     return pieces.mapInArrow(number, T.StructType([*pieces.schema.fields, T.StructField(task, T.IntegerType()), T.StructField(rank, T.LongType())]))
 
 
-def pack_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int = 2, capacity: int = 1024, rounds: int = 400, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int = 2, capacity: int = 1024, rounds: int = 40, with_ids: bool = True) -> DataFrame:
     """Pieces of the documents with their crc32, place and (with_ids) ids."""
+    bounded(docs.sparkSession)
     pieces = encode_pieces(docs, vocabulary=vocabulary, end_id=end_id, capacity=capacity)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
     return pack(pieces if with_ids else pieces.drop("ids"), capacity=capacity, rounds=rounds)

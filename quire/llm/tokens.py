@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_path, text_slices
+from quire.llm.common import bounded, new_path, text_slices
 
 #: Default vocabulary, looked up where the public tokenizer files are installed; any path may be given.
 VOCABULARY = "byte_bpe_50k.json"
@@ -289,5 +289,5 @@ def read_token_files(spark, manifest: list[tuple]) -> DataFrame:
 
 def token_files(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
     """Write the files and return what they hold, a row a document."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     return read_token_files(spark, write_token_files(docs, folder or new_path(spark, "tokens"), **options))
