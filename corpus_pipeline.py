@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontam, langid, minhash, packing, suffixes
-from quire.llm.common import materialize, table
+from quire.llm.common import bounded, materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no text, no letter); the others' lang is the predicted one where it was null."""
+    bounded(spark)
     found = langid.identify(docs, langid.fit(docs), label="__lang", score="__score").where("`__lang` != 'und'")
     return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
@@ -56,7 +57,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         found = suffixes.remove_repeats(rows).where("n_removed > 0").select(F.col("doc_id").alias("__id"), "kept")
         changed = rows.join(found, rows["doc_id"] == F.col("__id"), "left")
         # a cut can part a character's bytes: what is left of such a character is dropped
-        text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.regexp_replace(F.decode("kept", F.lit("UTF-8")) if False else suffixes.as_text(F.col("kept")), "�", ""))
+        text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(suffixes.as_text(F.col("kept")))
         changed = changed.withColumn("text", text).where("length(text) > 0")
         return changed.withColumn("n_chars", F.length("text").cast("long")).select(*rows.columns)
 
@@ -74,8 +75,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 1024 tokens."""
-    return packing.pack_documents(docs, with_ids=False)
+    """Packs the documents into sequences of 1024 tokens: pieces with their ids (little-endian uint32) and places."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [
