@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,8 +41,10 @@ CLOSES_P = (BLOCKS - {"dd", "dt", "li", "body", "html", "option", "optgroup", "l
 SCOPES = set("table td th caption html body button object template".split())
 #: start tag -> open elements that it ends
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tr": {"tr", "td", "th", "caption", "colgroup"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: tables in tables that are aligned; deeper ones are rendered as blocks
-DEEPEST = 30
+#: tables in tables that are aligned; deeper ones are rendered as blocks, with all their text
+DEEPEST = 60
+#: the standard's greatest column span
+WIDEST = 1000
 SECTIONS = {"thead", "tbody", "tfoot"}
 #: table part -> open elements that it goes into
 INTO = {"td": {"tr", "table"} | SECTIONS, "th": {"tr", "table"} | SECTIONS, "tr": {"table"} | SECTIONS} | {s: {"table"} for s in SECTIONS}
@@ -57,30 +60,39 @@ class Node:
 def parse(source: str) -> Node:
     root = Node("html")
     stack = [root]
+    opened: Counter[str] = Counter()  # tags of the open elements: what isn't open is not searched for
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(at: int) -> None:
+        opened.subtract(e.tag for e in stack[at:])
+        del stack[at:]
 
     def close(tags: set[str], scopes: set[str]) -> None:
         """End the open elements down to the outermost of ``tags`` that is inside the nearest of ``scopes``."""
         last = None
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in tags) else ():
             if stack[i].tag in tags:
                 last = i
             elif stack[i].tag in scopes:
                 break
         if last is not None:
-            del stack[last:]
+            cut(last)
 
     def back(tags: set[str]) -> None:
         """End what was left open inside the nearest of ``tags`` of this table."""
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i + 1 :]
+                cut(i + 1)
             if stack[i].tag in tags or stack[i].tag in ("table", "template"):
                 break
 
     def add_text(s: str) -> None:
         s = html.unescape(s)
         if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
-            stack.pop()
+            cut(len(stack) - 1)
         stack[-1].children.append(s)
 
     at, n = 0, len(source)
@@ -96,13 +108,15 @@ def parse(source: str) -> Node:
             tag = found[1].lower()
             if tag == "br":
                 if stack[-1].tag == "head":
-                    stack.pop()
+                    cut(len(stack) - 1)
                 stack[-1].children.append(Node("br"))
                 continue
             stop = {"table"} if tag in ("td", "th", "tr") or tag in SECTIONS else SCOPES - {tag}
+            if not opened[tag] and (tag != "p" or not any(opened[t] for t in stop)):
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in stop and tag not in ("body", "html", "table"):
                     if tag == "p":
@@ -116,7 +130,7 @@ def parse(source: str) -> Node:
                 close({"head"}, set())
                 continue
             if stack[-1].tag == "head" and tag not in IN_HEAD:
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in CLOSES_P:
                 close({"p"}, SCOPES)
             if tag in SECTIONS:
@@ -128,9 +142,9 @@ def parse(source: str) -> Node:
             if tag in ("td", "th") and stack[-1].tag in SECTIONS | {"table"}:
                 row = Node("tr")
                 stack[-1].children.append(row)
-                stack.append(row)
+                push(row)
             for kind, unseen in UNSEEN.items():
-                if tag in unseen and any(e.tag == kind for e in stack):
+                if tag in unseen and opened[kind]:
                     attributes["hidden"] = ""
             node = Node(tag, attributes)
             stack[-1].children.append(node)
@@ -142,7 +156,7 @@ def parse(source: str) -> Node:
             elif tag == "form" and stack[-1].tag in SECTIONS | {"table", "tr"}:
                 pass  # between the parts of a table it holds nothing
             elif tag not in VOID and not (found[3] or "").endswith("/"):
-                stack.append(node)
+                push(node)
     return root
 
 
@@ -247,7 +261,7 @@ def render(root: Node, depth: int = 0) -> tuple[str, dict[str, int]]:
         if tag in ("ul", "ol", "menu"):
             n["lists"] += 1
             start = node.attributes.get("start", "")
-            counters.append([tag == "ol", int(start) if start.lstrip("-").isdigit() and len(start) < 10 else 1])
+            counters.append([tag == "ol", int(start) if re.fullmatch(r"-?[0-9]{1,4000}", start) else 1])
         elif tag == "li":
             ordered, value = counters[-1] if counters else (False, 1)
             mark = f"{value}. " if ordered else "- "
@@ -299,28 +313,31 @@ def table_lines(table: Node, n: dict[str, int], depth: int = 1) -> list[str]:
             n[k] += found[k]
         out += text.split("\n") if text else []
     grid: dict[tuple[int, int], list[str]] = {}
-    taken: set[tuple[int, int]] = set()
+    taken: dict[int, int] = {}  # column -> first row that no cell above reaches into
     wide: dict[tuple[int, int], int] = {}
-    for r, row in enumerate(_rows(table)):
+    rows = _rows(table)
+    for r, row in enumerate(rows):
         c = 0
         for cell in row.children:
             if not isinstance(cell, Node) or cell.tag not in ("td", "th") or hidden(cell):
                 continue
-            while (r, c) in taken:
+            while taken.get(c, 0) > r:
                 c += 1
-            spans = [int(v) if (v := cell.attributes.get(k, "1")).isdigit() and len(v) < 4 else 1 for k in ("colspan", "rowspan")]
-            across, down = max(1, spans[0]), max(1, spans[1])
+            spans = [int(v) if (v := cell.attributes.get(k, "1").strip()).isascii() and v.isdigit() and len(v) < 4000 else 1 for k in ("colspan", "rowspan")]
+            across, down = max(1, min(spans[0], WIDEST)), spans[1] or len(rows)  # a row span of 0 goes to the table's end
             inner = Node("div")
             inner.children = cell.children
             text, found = render(inner, depth)
             for k in ("lists", "tables"):
                 n[k] += found[k]
             grid[r, c], wide[r, c] = text.split("\n"), across
-            taken |= {(r + i, c + j) for i in range(down) for j in range(across)}
+            for j in range(c, c + across):
+                taken[j] = max(taken.get(j, 0), min(r + down, len(rows)))
             c += across
     if not grid:
         return out
-    columns = 1 + max(c for _, c in taken)
+    columns = 1 + max(c for _, c in grid)  # a span has no columns of its own
+    wide = {(r, c): min(n, columns - c) for (r, c), n in wide.items()}
     widths = [0] * columns
     for (r, c), lines in grid.items():
         if wide[r, c] == 1:

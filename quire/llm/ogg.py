@@ -208,13 +208,25 @@ def media_column(docs: DataFrame, *, rate: int = RATE, voices: int = VOICES) ->
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """What is read back from the stored bytes of ``media_column``: digests and features."""
+    """What is read back from the stored bytes of ``media_column``: digests and features.
+
+    Null media has no payload (0 bytes, feature ``none``). Of media whose samples can't all be read, the payload's columns
+    are null and the feature is ``damaged``.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "media"):
             rows = []
             for media in part.column("media").to_pylist():
-                samples, f = samples_of(read_ogg(media))
+                if media is None:
+                    rows.append((0, hashlib.sha256(b"").hexdigest(), zlib.crc32(b""), 0, None, "none"))
+                    continue
+                read_back = read_ogg(media)
+                try:
+                    samples, f = samples_of(read_back)
+                except (ValueError, struct.error):
+                    rows.append((None, None, None, len(media), hashlib.sha256(media).hexdigest(), f"damaged;pages={read_back.pages};bad={read_back.bad_pages};skipped={read_back.skipped_bytes}"))
+                    continue
                 feature = f"ogg;streams={f['streams']};pages={f['pages']};packets={f['packets']};seconds={f['seconds']:.6f};mean={f['mean']:.4f};peak={f['peak']};crossings={f['crossings']}"
                 rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

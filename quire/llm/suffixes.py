@@ -9,6 +9,7 @@ anchors only, and only at anchors whose 32 bytes occur again.
    168-byte context (all 100-byte strings around the anchor) to buckets of the key space, in sorted, compressed arrays.
 2. A bucket answers for each anchor: alone; a repeat of an earlier equal context (all its strings go); or the first
    of its context while other contexts share its key (to be sorted).
+   Copies of a context need no order: equal hashes settle them. Whatever is partly equal is left to the sort.
 3. The contexts to be sorted meet by key. Their right parts, and their left parts read backwards, are suffix-sorted:
    multikey quicksort on eight-byte words down to a shallow depth, then a blind trie orders each group that is still
    equal there. Prefix classes of the two orders say for each alignment which strings are equal; all but the
@@ -18,7 +19,7 @@ anchors only, and only at anchors whose 32 bytes occur again.
 
 Defined results: null is an empty text; texts under 100 bytes lose nothing; rows with equal doc_id are ordered as they
 come in their block; a null doc_id sorts first; self-overlapping runs keep their first 100 bytes. Two different strings would
-have to share a 64-bit hash of the key and a 48-bit hash of the context to be confused.
+have to share a 64-bit hash of the key and another one of the context to be confused.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U, materialize, mix, pack_sorted, partitions, squeeze, text_slices, unpack_sorted, unsqueeze
+from quire.llm.common import U, bounded, materialize, mix, pack_sorted, partitions, squeeze, text_slices, unpack_sorted, unsqueeze
 
 SPAN, GRAM = 100, 32
 SIDE = SPAN - GRAM  # bytes around the anchor that a string may have on either side
@@ -273,7 +274,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for part in text_slices(batches, limit=BLOCK):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pylist([{"block": number, "doc_ids": part.column("doc_id").to_pylist(), "sizes": [len(t) for t in texts], "data": squeeze(b"".join(texts))}], schema=_BLOCK)
+            yield pa.RecordBatch.from_pylist([{"block": number, "doc_ids": part.column("doc_id").fill_null(_FAR).to_pylist(), "sizes": [len(t) for t in texts], "data": squeeze(b"".join(texts))}], schema=_BLOCK)
             number += 1
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -295,18 +296,8 @@ def _anchors(sizes, data: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     return texts, doc[order], at[order].astype(np.int64), key[order], context[order]
 
 
-def _six(values: np.ndarray) -> bytes:
-    """Context hashes at 48 bits: they only tell contexts of one key apart."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unsix(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.view(U).ravel()
-
-
 ALONE, REPEAT, SORT, HOT_KEY = 0, 1, 2, 3
+#: stands for a null doc_id: pandas would make floats of a list that holds a null
 _FAR = -(1 << 63)
 
 
@@ -318,10 +309,10 @@ def verdicts(table: DataFrame, buckets: int, hot: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 _, doc, at, key, context = _anchors(row["sizes"], row["data"])
-                ids = np.array([_FAR if i is None else i for i in row["doc_ids"]], dtype=np.int64)
+                ids = np.array(row["doc_ids"], dtype=np.int64)
                 cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
                 # positions stay in the block: its texts' numbers are enough, for its anchors of a key are in order
-                rows = [(row["block"], i, pack_sorted(key[x:y]), _six(context[x:y]), squeeze(ids[doc[x:y]].tobytes()), squeeze(at[x:y].astype("<u4").tobytes())) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+                rows = [(row["block"], i, pack_sorted(key[x:y]), np.ascontiguousarray(context[x:y]).tobytes(), squeeze(ids[doc[x:y]].tobytes()), squeeze(at[x:y].astype("<u4").tobytes())) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
                 if rows:
                     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "bucket", "keys", "contexts", "ids", "at"])
@@ -330,7 +321,7 @@ def verdicts(table: DataFrame, buckets: int, hot: int) -> DataFrame:
         pdf = pdf.sort_values("block")
         parts = [unpack_sorted(k) for k in pdf["keys"]]
         keys = np.concatenate(parts)
-        contexts = np.concatenate([_unsix(c) for c in pdf["contexts"]])
+        contexts = np.concatenate([np.frombuffer(c, dtype=U) for c in pdf["contexts"]])
         ids = np.concatenate([np.frombuffer(unsqueeze(d), dtype=np.int64) for d in pdf["ids"]])
         at = np.concatenate([np.frombuffer(unsqueeze(d), dtype="<u4") for d in pdf["at"]])
         source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -370,8 +361,7 @@ def contexts_to_sort(table: DataFrame, told: DataFrame, parts: int) -> DataFrame
             for i in np.flatnonzero(verdict >= SORT).tolist():
                 text, p = texts[doc[i]], int(at[i])
                 before, after = text[max(0, p - SIDE) : p].tobytes()[::-1], text[p + GRAM : p + SPAN].tobytes()
-                doc_id = row["doc_ids"][doc[i]]
-                same = (row["block"], int(doc[i]), _FAR if doc_id is None or doc_id != doc_id else int(doc_id), p)
+                same = (row["block"], int(doc[i]), int(row["doc_ids"][doc[i]]), p)
                 core = int(keys[i].view(np.int64))
                 if verdict[i] == SORT:
                     rows.append((core % parts, core, 0, SIDE, *same, before, after))
@@ -407,8 +397,9 @@ def sorted_ranges(waiting: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), spans: a row for each row of docs."""
-    buckets = buckets or 2 * partitions(docs)
+    bounded(docs.sparkSession)
     table = blocks(docs)
+    buckets = buckets or max(2 * partitions(docs), table.count() // 2)  # a bucket does not grow with the corpus
     told = materialize(verdicts(table, buckets, hot), "verdicts")
     waiting = contexts_to_sort(table, told, 8 * partitions(docs))
     ranges = materialize(sorted_ranges(waiting), "ranges")
@@ -435,10 +426,11 @@ def remove_repeats(docs: DataFrame, *, buckets: int | None = None, hot: int = HO
                 for a, b in spans:
                     keep[a:b] = False
                 kept = text[keep].tobytes()
-                doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
+                doc_id = None if doc_id == _FAR else int(doc_id)
                 rows.append((doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in spans]))
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
-        return out.astype({"doc_id": "Int64"})
+        out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
+        return out
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
     return table.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cut, kinds)

@@ -388,6 +388,31 @@ def test_ogg_table(spark):
     assert by[5].media_sha256 == by[6].media_sha256
 
 
+def test_ogg_null_and_damaged_media(spark):
+    whole = ogg.write_ogg(bytes(range(256)) * 80)
+    bad = bytearray(whole)
+    bad[9000] ^= 1
+    rows = [(1, 5, None), (2, 5, bytearray(whole)), (3, 5, bad), (4, 0, bytearray(b"no media")), (5, 0, bytearray())]
+    got = {r.doc_id: r for r in ogg.media_features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].feature == "none" and got[2].payload_bytes == 256 * 80 and got[3].payload_bytes is None and got[3].feature.startswith("damaged;")
+    assert got[4].payload_bytes == 0 and got[5].payload_bytes == 0
+
+
+def test_ids_beyond_doubles_beside_a_null(spark):
+    big = (1 << 53) + 1
+    rows = odd(spark, [(big, "a b c", "en"), (None, "x", "en"), (big + 1, "z" * 300, "en")]).coalesce(1)
+    assert {r.doc_id for r in suffixes.remove_repeats(rows).collect()} == {big, big + 1, None} == {r.doc_id for r in lm.lm_scores(rows).collect()}
+
+
+def test_html_spans_lists_and_depth():
+    assert html.extract("<table><tr><td colspan=2000>a<tr><td>b<td>c</table>")[0] == "a\nb | c"
+    assert html.extract("<table><tr><td rowspan=70000>a<td>b<tr><td>c</table>")[0] == "a | b\n  | c"
+    assert html.extract("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>")[0] == "a | b\n  | c\n  | d"
+    assert html.extract("<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 300 + "</table>")[0].count("x") == 300
+    assert html.extract("<ol start=12345678901><li>a</ol>")[0] == "12345678901. a"
+    assert "x" in html.extract("<div>" * 30_000 + "x" + "</div>" * 30_000)[0]
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_id(docs, per_language=60, epochs=2).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
