@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for r in bad:
         print(f"{r.name}: {r.error}", file=sys.stderr)
     spark.dataSource.register(PdfDataSource)
-    done.where("content is not null").select("name", "content").write.format("pdf").mode("append").save(a.out)
+    done.where("content is not null").select("name", "content").write.format("pdf").mode("overwrite").save(a.out)
     return 3 if any("Password" in r.error for r in bad) else 1 if bad else 0
 
 

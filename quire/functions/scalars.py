@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.kernels.syntax import PDFDOC
+
 
 def pdf_date(s: Column) -> Column:
     """``D:YYYYMMDDHHmmSS+HH'mm'`` (later parts may be missing) or ISO 8601, as UTC; null where it is no date."""
     iso = r"^\s*(\d{4})-(\d\d)(?:-(\d\d))?(?:[T ](\d\d):(\d\d)(?::(\d\d)(?:\.\d+)?)?)?\s*(?:([Zz+\-])(?:(\d\d):?(\d\d)?)?)?\s*$"
     own = r"^\s*(?:D:)?(\d{4})(?:(\d\d)(?:(\d\d)(?:(\d\d)(?:(\d\d)(?:(\d\d))?)?)?)?)?\s*(?:([Zz+\-])(?:(\d\d)'?(?:(\d\d)'?)?)?)?"
 
-    def part(i: int, default: int) -> Column:
-        found = F.when(s.rlike(iso), F.regexp_extract(s, iso, i)).otherwise(F.regexp_extract(s, own, i))
-        return F.coalesce(F.nullif(found, F.lit("")).cast("int"), F.lit(default))
+    # each pattern is matched once: its groups as a list behind a mark
+    mark = "\ue000"
+    groups = mark + "".join(f"|${i}" for i in range(1, 10))
+    found = F.split(F.when(s.rlike(iso), F.regexp_replace(s, iso, groups)).otherwise(F.regexp_replace(s, own + r"[\s\S]*$", groups)), "\\|")
 
-    def sign() -> Column:
-        return F.when(s.rlike(iso), F.regexp_extract(s, iso, 7)).otherwise(F.regexp_extract(s, own, 7))
+    def build(parts: Column) -> Column:
+        part = lambda i, default: F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(default))
+        at = F.try_make_timestamp_ntz(part(1, 0), part(2, 1), part(3, 1), part(4, 0), part(5, 0), part(6, 0).cast("decimal(8,6)"))
+        sign = F.get(parts, F.lit(7))
+        minutes = (part(8, 0) * 60 + part(9, 0)) * F.when(sign == "+", -1).when(sign == "-", 1).otherwise(0)
+        return F.when((F.get(parts, F.lit(0)) == mark) & (F.size(parts) == 10), at + F.make_dt_interval(F.lit(0), F.lit(0), minutes, F.lit(0)))
 
-    at = F.try_make_timestamp_ntz(part(1, 0), part(2, 1), part(3, 1), part(4, 0), part(5, 0), part(6, 0).cast("decimal(8,6)"))
-    minutes = (part(8, 0) * 60 + part(9, 0)) * F.when(sign() == "+", -1).when(sign() == "-", 1).otherwise(0)
-    return F.when(s.rlike(own) | s.rlike(iso), at + F.make_dt_interval(F.lit(0), F.lit(0), minutes, F.lit(0)))
+    return F.transform(F.array(found), build)[0]
 
 
 def roman(n: Column) -> Column:
@@ -86,16 +91,26 @@ def xmp_property(xmp: Column, name: str) -> Column:
 
 
 def unescape_xml(s: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(entity), F.lit(char))
-    return s
+    """The five named entities and numeric ones, each once: what an entity gives is not read again."""
+
+    def one(piece: Column) -> Column:
+        entity = F.regexp_extract(piece, "^&(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|lt|gt|quot|apos|amp);", 1)
+        code = F.when(F.lower(entity).startswith("#x"), F.conv(F.substr(entity, F.lit(3)), 16, 10)).when(entity.startswith("#"), F.substr(entity, F.lit(2))).cast("int")
+        known = F.when(entity == "lt", "<").when(entity == "gt", ">").when(entity == "quot", '"').when(entity == "apos", "'").when(entity == "amp", "&")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.coalesce(known, F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        return F.when(char.isNull(), piece).otherwise(F.concat(char, F.substr(piece, F.length(entity) + 3)))
+
+    return F.array_join(F.transform(F.split(s, "(?=&)"), one), "")
 
 
 def decode_text(b: Column) -> Column:
-    """Text strings in UTF-16 or UTF-8 by their mark; others as Latin-1."""
+    """Text strings in UTF-16 or UTF-8 by their mark; others in PDFDocEncoding."""
     head = F.hex(F.substring(b, 1, 3))
     utf16 = F.decode(F.substr(b, F.lit(3)), "UTF-16BE")
-    return F.when(head.startswith("FEFF"), utf16).when(head == "EFBBBF", F.decode(F.substr(b, F.lit(4)), "UTF-8")).otherwise(F.decode(b, "ISO-8859-1"))
+    little = F.decode(F.substr(b, F.lit(3)), "UTF-16LE")
+    own = F.translate(F.decode(b, "ISO-8859-1"), "".join(map(chr, PDFDOC)), "".join(PDFDOC.values()))
+    return F.when(head.startswith("FEFF"), utf16).when(head.startswith("FFFE"), little).when(head == "EFBBBF", F.decode(F.substr(b, F.lit(4)), "UTF-8")).otherwise(own)
 
 
 def encode_text(s: Column) -> Column:

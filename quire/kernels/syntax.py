@@ -235,7 +235,7 @@ def serialize(v) -> bytes:
 
 
 # fixed values: PDFDocEncoding where it differs from Latin-1
-_PDFDOC = dict(zip(range(0x18, 0x20), "˘ˇˆ˙˝˛˚˜")) | dict(zip(range(0x80, 0xA1), "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž�€"))
+PDFDOC = dict(zip(range(0x18, 0x20), "˘ˇˆ˙˝˛˚˜")) | dict(zip(range(0x80, 0xA1), "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž�€"))
 
 
 def decode_text(data: bytes) -> str:
@@ -246,7 +246,7 @@ def decode_text(data: bytes) -> str:
         return data[2:].decode("utf-16-le", "replace")
     if data[:3] == b"\xef\xbb\xbf":
         return data[3:].decode("utf-8", "replace")
-    return data.decode("latin-1").translate(_PDFDOC)
+    return data.decode("latin-1").translate(PDFDOC)
 
 
 def encode_text(s: str) -> Str:

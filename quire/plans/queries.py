@@ -128,6 +128,21 @@ def xmp_property(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", S.xmp_property(xmp, "dc:creator").alias("creator"), S.xmp_property(xmp, "xmp:Segment").alias("segment"), S.xmp_property(xmp, "dc:subject").alias("subjects"))
 
 
+@query("SELECT c_custkey, chr((65 + c_custkey % 26)::INTEGER) || '&lt;' || c_mktsegment || chr((8192 + c_custkey % 2000)::INTEGER) || '<&>' || chr((128512 + c_custkey % 50)::INTEGER) || '&#xD800;&none;' AS value FROM customer")
+def xml_entities(spark, sf_dir):
+    """Named and numeric entities, among them one that gives the beginning of another, and two that are none."""
+    number, key = lambda n: n.cast("string"), F.col("c_custkey")
+    source = F.concat(F.lit("&#"), number(65 + key % 26), F.lit(";&amp;lt;"), F.col("c_mktsegment"), F.lit("&#x"), F.hex(8192 + key % 2000), F.lit(";&lt;&amp;&gt;&#"), number(128512 + key % 50), F.lit(";&#xD800;&none;"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.unescape_xml(source).alias("value"))
+
+
+@query("SELECT p_partkey, p_name || ['•', '†', '‡', '…', '—', '–', 'ƒ', '⁄', '‹', '›'][1 + (p_partkey % 10)::INTEGER] || '€' AS value FROM part")
+def pdfdoc_text(spark, sf_dir):
+    """Text strings in PDFDocEncoding, through the Column form and through a file's dictionary."""
+    raw = F.concat(F.encode("p_name", "ISO-8859-1"), F.unhex(F.hex(128 + F.col("p_partkey") % 10)), F.unhex(F.lit("A0")))
+    return table(spark, sf_dir, "part").select("p_partkey", S.decode_text(raw).alias("value"))
+
+
 _PARTS_SQL = "SELECT p_partkey % 100 AS doc, p_partkey, (100 + p_partkey % 500)::INTEGER AS w, (200 + p_size * 3)::INTEGER AS h, (p_partkey % 7)::INTEGER AS x, (p_size % 5)::INTEGER AS y, ((p_partkey % 5) * 90)::INTEGER AS r FROM part"
 
 

@@ -9,8 +9,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import posixpath
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +55,7 @@ class PdfDataSource(DataSource):
         return PdfReader(self.options, schema)
 
     def writer(self, schema, overwrite: bool) -> "PdfWriter":
-        return PdfWriter(self.options)
+        return PdfWriter(self.options, overwrite)
 
 
 class PdfReader(DataSourceReader):
@@ -99,34 +102,51 @@ class Written(WriterCommitMessage):
 
 
 class PdfWriter(DataSourceWriter):
-    """A file for each row: ``name`` and ``content`` columns; files get their names when the whole job has succeeded."""
+    """A file for each row: ``name`` (a path below the folder) and ``content``; files get their names when the whole job has succeeded.
 
-    def __init__(self, options):
-        self.options = options
+    Two rows of one name, a null name or content, a name that leaves the folder, and without ``overwrite`` a file that is
+    there already are errors: nothing gets its name then.
+    """
+
+    def __init__(self, options, overwrite: bool = False):
+        self.options, self.overwrite = options, overwrite
 
     def write(self, rows) -> Written:
         system, folder = _filesystem(self.options["path"])
-        system.create_dir(folder, recursive=True)
         done = []
         for r in rows:
-            name = os.path.basename(r["name"])
-            part = f"{folder}/.{name}.{uuid.uuid4().hex}.part"
+            if r["name"] is None or r["content"] is None:
+                raise ValueError(f"no name or no content: {r['name']}")
+            name = posixpath.normpath(r["name"].lstrip("/"))
+            if name.startswith("..") or name == ".":
+                raise ValueError(f"not a name below the folder: {r['name']}")
+            at = posixpath.join(folder, posixpath.dirname(name))
+            system.create_dir(at, recursive=True)
+            part = f"{at}/.{posixpath.basename(name)}.{uuid.uuid4().hex}.part"
             with system.open_output_stream(part) as f:
                 f.write(bytes(r["content"]))
             done.append((part, f"{folder}/{name}"))
         return Written(done)
 
     def commit(self, messages) -> None:
+        import pyarrow.fs as fs
+
         system, _ = _filesystem(self.options["path"])
-        for m in messages:
-            for part, final in m.pairs if m else []:
-                system.move(part, final)
+        pairs = [p for m in messages if m for p in m.pairs]
+        finals = [final for _, final in pairs]
+        twice = sorted(name for name, n in Counter(finals).items() if n > 1)
+        there = [] if self.overwrite else [i.path for i in system.get_file_info(finals) if i.type != fs.FileType.NotFound]
+        if twice or there:
+            raise FileExistsError(f"{len(twice)} names are given twice, {len(there)} files are there already: {(twice + there)[:3]}")
+        for part, final in pairs:
+            system.move(part, final)
 
     def abort(self, messages) -> None:
         system, _ = _filesystem(self.options["path"])
         for m in messages:
             for part, _ in m.pairs if m else []:
-                system.delete_file(part)
+                with contextlib.suppress(FileNotFoundError):
+                    system.delete_file(part)
 
 
 def from_rows(df: DataFrame, build, keys: list[str]) -> DataFrame:

@@ -96,3 +96,35 @@ def test_command_line(spark, tmp_path, capsys):
     assert parse_ranges("1-3,5,7-", 8) == [0, 1, 2, 4, 6, 7]
     with pytest.raises(ValueError):
         parse_ranges("5-2", 8)
+
+
+@pytest.mark.parametrize("name", ["xml_entities", "pdfdoc_text", "parse_pdf_date", "xmp_property"])
+def test_scalar_queries_match_sql(spark, name):
+    import duckdb
+
+    from quire.plans.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("customer", "part", "orders"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.sql(ORACLES[name]).df()
+    got = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    c = sorted(want.columns)
+    assert sorted(map(str, got[c].values.tolist())) == sorted(map(str, want[c].values.tolist()))
+
+
+@pytest.mark.parametrize("rows", [[("a.pdf", b"x"), ("a.pdf", b"y")], [("a.pdf", None)], [(None, b"x")], [("../a.pdf", b"x")]])
+def test_sink_refuses_what_would_be_lost(spark, tmp_path, rows):
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(2)
+    with pytest.raises(Exception):
+        df.write.format("pdf").mode("append").save(str(tmp_path))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_sink_keeps_folders_and_files_that_are_there(spark, tmp_path):
+    write = lambda rows, mode: spark.createDataFrame(rows, "name string, content binary").write.format("pdf").mode(mode).save(str(tmp_path))
+    write([("x/a.pdf", b"1"), ("y/a.pdf", b"2")], "append")
+    with pytest.raises(Exception):
+        write([("x/a.pdf", b"3")], "append")
+    write([("y/a.pdf", b"4")], "overwrite")
+    assert (tmp_path / "x/a.pdf").read_bytes() == b"1" and (tmp_path / "y/a.pdf").read_bytes() == b"4"
