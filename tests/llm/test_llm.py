@@ -583,7 +583,7 @@ def test_pipeline(spark):
 
 def test_pipeline_keeps_rows_with_null_or_repeated_ids(spark):
     apart = "quite another text that says nothing of what the others say"
-    texts = Counter([(5, BASE), (3, "one two"), (9, LONG), (None, "no id here at all"), (None, "no id here at all"), (None, apart), (7, apart), (2, "   \n\t "), (1, ""), (0, None), (11, "x" * 500), (12, ODD[12][1]), (13, ODD[13][1]), (14, "12345 !!! 99"), (14, "a second text under this id"), (15, ODD[16][1])])
+    texts = Counter([(5, BASE), (3, "one two"), (9, LONG), (None, "no id here at all"), (None, "no id here at all"), (None, apart), (7, apart), (2, "   \n\t "), (1, ""), (0, None), (11, "x" * 500), (12, ODD[12][1]), (13, ODD[13][1]), (14, "12345 !!! 99"), (14, "a second text under this id"), (15, ODD[16][1]), (16, ODD[17][1])])
     docs = odd(spark, [*ODD, (None, "no id here at all", "en"), (None, apart, "en"), (7, apart, "en"), (14, "a second text under this id", "en"), (1, "", "fr")])
     stages = dict(corpus_pipeline.STAGES)
     first = stages["MinHash near-dedup"](spark, docs, SF)
