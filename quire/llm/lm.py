@@ -41,7 +41,7 @@ PRIORS = (200.0, 50.0)
 START, END = U(xxhash.xxh3_64_intdigest(b" start")), U(xxhash.xxh3_64_intdigest(b" end"))
 _END, _START = 0, 1  # ids in every block's vocabulary
 _K = U(0x9E3779B97F4A7C15)
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 #: tokens that a document is walked at a time; the parts of a longer one are walked side by side
 STRETCH = 512
 
@@ -75,7 +75,7 @@ class Block:
         The first order is the vocabulary itself. No n-gram goes beyond its document.
         """
         n = len(self.tokens)
-        last = self.tokens.astype(np.int64)
+        last = self.tokens.astype(np.int32)
         out = [(mix(self.hashes + U(1)), last)]
         for order in range(2, ORDER + 1):
             keys, ends = out[-1]
@@ -83,24 +83,25 @@ class Block:
             if order > 2:
                 inside[1:] &= ends[:-1] >= 0
             at = np.flatnonzero(inside)
-            pair = ends[at - 1] * len(self.hashes) + last[at]
-            distinct, which = np.unique(pair, return_inverse=True)
-            here = np.full(n, -1, dtype=np.int64)
-            here[at] = which
+            pair = ends[at - 1].astype(np.int64) * len(self.hashes) + last[at]
+            by = np.argsort(pair, kind="stable")
+            pair = pair[by]
+            fresh = np.concatenate([[True], pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, dtype=bool)
+            distinct = pair[fresh]
+            here = np.full(n, -1, dtype=np.int32)
+            here[at[by]] = np.cumsum(fresh, dtype=np.int32) - 1
+            del pair, by, fresh, at
             key = mix(keys[distinct // len(self.hashes)] * _K + self.hashes[distinct % len(self.hashes)] + U(order))
             out.append((key, here))
         return out
 
 
 def sorted_keys(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all orders, sorted, without the start mark's; the place of each n-gram among them, order by order."""
+    """Keys of the n-grams of all orders, sorted, without the start mark's; for each the n-gram's number, counted through the orders."""
     every = np.concatenate([k for k, _ in grams])
-    asked = np.ones(len(every), dtype=bool)
-    asked[_START] = False
-    keys, at = np.unique(every[asked], return_inverse=True)
-    place = np.zeros(len(every), dtype=np.int64)
-    place[asked] = at
-    return keys, place
+    order = np.argsort(every, kind="stable").astype(np.int32)
+    order = order[order != _START]
+    return every[order], order
 
 
 def blocks(docs: DataFrame, modulus: int) -> DataFrame:
@@ -145,24 +146,18 @@ def counts(table: DataFrame, buckets: int) -> DataFrame:
     asked_kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _block(row)
-                grams = b.grams()
-                keys, place = sorted_keys(grams)
-                learned = np.repeat(~np.array(row["held"], dtype=bool), b.sizes + 1)
-                n, before = np.zeros(len(keys), dtype=np.int64), 0
-                for own, ends in grams:
-                    seen = np.bincount(ends[learned & (ends >= 0)], minlength=len(own))
-                    if not before:
-                        seen[_START] = 0
-                    n += np.bincount(place[before : before + len(own)], seen, len(keys)).astype(np.int64)
-                    before += len(own)
-                single = np.zeros(len(keys), dtype=bool)
-                single[np.delete(place[: len(b.hashes)], _START)] = True
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                rows = [(row["block"], i, pack_sorted(keys[x:y]), _planes(n[x:y]), np.packbits(single[x:y]).tobytes()) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), asked_kinds)], names=["block", "bucket", "keys", "n", "single"])
+        for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
+            b = _block(row)
+            grams = b.grams()
+            learned = np.repeat(~np.array(row["held"], dtype=bool), b.sizes + 1)
+            n = np.concatenate([np.bincount(ends[learned & (ends >= 0)], minlength=len(own)).astype(np.int32) for own, ends in grams])
+            keys, order = sorted_keys(grams)
+            del grams, learned
+            n, single = n[order], order < len(b.hashes)
+            del order
+            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+            rows = [(row["block"], i, pack_sorted(keys[x:y]), _planes(n[x:y]), np.packbits(single[x:y]).tobytes()) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), asked_kinds)], names=["block", "bucket", "keys", "n", "single"])
 
     def answer(asked: pa.Table) -> pa.Table:
         keys, local = [unpack_sorted(k) for k in asked["keys"].to_pylist()], [_values(n) for n in asked["n"].to_pylist()]
@@ -274,10 +269,11 @@ def lm_scores(docs: DataFrame, *, modulus: int = 7, priors: tuple[float, ...] =
         row = left.to_pylist()[0]
         b = _block(row)
         grams = b.grams()
-        _, place = sorted_keys(grams)
+        _, order = sorted_keys(grams)
         answers = sorted(zip(right["bucket"].to_pylist(), right["counts"].to_pylist()))
-        c = np.concatenate([_values(x) for _, x in answers]).astype(np.int64)[place]
-        c[_START] = 0
+        c = np.zeros(sum(len(k) for k, _ in grams), dtype=np.int64)
+        c[order] = np.concatenate([_values(x) for _, x in answers]).astype(np.int64)
+        del order, answers
         cuts = np.cumsum([len(k) for k, _ in grams])[:-1]
         weights = Automaton(b, grams, np.split(c, cuts), total, types, priors).walk()
         n, tokens = len(b.sizes), b.tokens != _START
