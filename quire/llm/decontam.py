@@ -133,7 +133,8 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         sofar = sofar + F.greatest(F.lit(0), F.col("n_words") - last + 1)
         before = F.when((F.col("exact") == exact) & (F.col("size") == size), sofar).otherwise(before)
     mine = found.select("entry", "item_id", "exact", "size", F.col("at").alias("item_at"), "window", "plain")
-    told = texts.select("doc_id", F.size("words").alias("n_words"), F.posexplode(told).alias("place", "window"))
+    # n_words is taken before the windows are told: a row of a window must not carry its document's words
+    told = texts.select("doc_id", F.size("words").alias("n_words"), "words").select("doc_id", "n_words", F.posexplode(told).alias("place", "window"))
     hits = told.join(F.broadcast(mine) if sum(info.values()) <= BROADCAST_ROWS else mine, "window").withColumn("at", F.col("place") - before)
     aligned = hits.groupBy("doc_id", "entry", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("matched"), F.countDistinct(F.when(F.col("plain"), F.col("item_at"))).alias("plain"))
     aligned = aligned.join(counts, ["entry", "exact"]).withColumn("needed", F.least(F.col("item_windows"), F.lit(LEAST_WINDOWS))).where("matched >= needed")
