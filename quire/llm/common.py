@@ -74,15 +74,20 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def take_over(cache) -> None:
+    """Make ``cache`` what this worker process remembers; what another operator left there is cleared."""
+    if _HELD[0] is not None and _HELD[0] is not cache:
+        _HELD[0].clear()
+        release()
+    _HELD[0] = cache
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, cache=None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of text (one row at least).
 
     cache: what this operator remembers in the worker process; what another one left there is cleared.
     """
-    if _HELD[0] is not None and _HELD[0] is not cache:
-        _HELD[0].clear()
-        release()
-    _HELD[0] = cache
+    take_over(cache)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -1,6 +1,6 @@
 """Operator 8: language identification by a linear-chain conditional random field over words.
 
-The chain is a sentence (a line or what ends with . ! or ?), however long. A word's scores come from hashed features:
+The chain is a sentence (a line or what ends with . ! or ?), however long. A word's scores come from hashed features (64 bits):
 the folded word itself (lexicon), its prefixes and suffixes of one to four characters (affixes), its inner character
 bigrams and trigrams (n-grams) and its letter case. Transitions between languages are learned with them, from sentences
 of labelled documents and from joins of two sentences of different languages (code-switched text), by
@@ -15,10 +15,9 @@ document is ``und``; ties go to the language first in order; repeated rows give
 from __future__ import annotations
 
 import functools
-import itertools
 import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +25,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import text_slices
+from quire.llm.common import U, mix, take_over, text_slices
 
 _SENTENCE = re.compile(r"[\n.!?]+")
 _EDGE = ".,;:!?()[]\"'|*#&%$"
+#: Base of the features' keys, and its inverse modulo 2**64.
+_STEP = U(0xD6E8FEB86659FD93)
+_BACK = U(pow(int(_STEP), -1, 1 << 64))
+#: Characters of words whose features are made at once, in a batch.
+_AT_ONCE = 1 << 17
 
 
 def core(word: str) -> str:
     return word.lower().strip(_EDGE)
 
 
-def features(low: str) -> list[str]:
-    """Features of a folded word; the empty one, which all have, first."""
-    n = len(low)
-    found = ["", "w" + low, *("p" + low[:i] for i in range(1, min(4, n) + 1)), *("s" + low[n - i :] for i in range(1, min(4, n) + 1))]
-    return found + [low[i : i + 2] for i in range(n - 1)] + [low[i : i + 3] for i in range(n - 2)]
+def char_values(codes: np.ndarray) -> np.ndarray:
+    return mix(codes.astype(np.uint64) + U(0x9E3779B97F4A7C15))
+
+
+def key(feature: str) -> np.uint64:
+    """64-bit key of a feature; that of the empty one is 0."""
+    values = char_values(np.array(list(map(ord, feature)), dtype=np.uint32))
+    return functools.reduce(lambda h, v: U((int(h) * int(_STEP) + int(v)) & (1 << 64) - 1), values[::-1], U(0))
+
+
+def feature_keys(lows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of folded words' features, word after word, and how many each word has.
+
+    Of a word, in this order: the empty feature, which all have, the word after a w, its first one to four characters
+    after a p, its last ones after an s, its bigrams and its trigrams. A string's key is its polynomial in ``_STEP``, so
+    sums over all characters give the key of every part.
+    """
+    n = np.fromiter(map(len, lows), dtype=np.int64, count=len(lows))
+    ends = np.cumsum(n)
+    starts, most = ends - n, np.minimum(n, 4)
+    codes = np.frombuffer("".join(lows).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    powers = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(codes), _STEP)]))
+    back = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(codes), _BACK)]))
+    sums = np.concatenate([[U(0)], np.cumsum(char_values(codes) * powers[:-1], dtype=np.uint64)])
+    sizes = 2 + 2 * most + np.maximum(n - 1, 0) + np.maximum(n - 2, 0)
+    at = np.cumsum(sizes) - sizes
+    keys = np.zeros(int(sizes.sum()), dtype=np.uint64)
+    w, p, s = char_values(np.array(list(map(ord, "wps")), dtype=np.uint32))
+    keys[at + 1] = w + _STEP * ((sums[ends] - sums[starts]) * back[starts])
+    for i in range(1, 5):
+        have = np.flatnonzero(n >= i)
+        a, b, to = starts[have], ends[have], at[have] + 1 + i
+        keys[to] = p + _STEP * ((sums[a + i] - sums[a]) * back[a])
+        keys[to + most[have]] = s + _STEP * ((sums[b] - sums[b - i]) * back[b - i])
+    left = np.repeat(ends, n) - np.arange(len(codes))  # characters to the word's end, this one included
+    to = np.repeat(at + 2 + 2 * most - starts, n) + np.arange(len(codes))
+    for i in (2, 3):
+        a = np.flatnonzero(left >= i)
+        keys[to[a]] = (sums[a + i] - sums[a]) * back[a]
+        to += np.repeat(np.maximum(n - 1, 0), n)
+    return keys, sizes
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -52,66 +92,100 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
 
     scores: (words, labels) log potentials; chains advance together, longest first, one position a step.
     """
-    k = scores.shape[1]
+    k, words = scores.shape[1], len(scores)
     order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    sizes = lengths[order]
-    top = scores.max(axis=1, keepdims=True)
-    e = np.exp(scores - top)
+    starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    alive = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right") if len(sizes) else np.zeros(0, dtype=np.int64)
+    cuts = np.concatenate([[0], np.cumsum(alive)])
+    # words by position in their chain, then by chain: a step's words and the words before them lie side by side
+    at = starts[np.arange(words) - np.repeat(cuts[:-1], alive)] + np.repeat(np.arange(len(alive)), alive)
+    e = np.ascontiguousarray(scores[at].T)
+    top = e.max(axis=0) if k else np.zeros(words)
+    e = np.exp(e - top)
     t = np.exp(transitions)
-    alpha, scale = np.empty_like(e), np.ones(len(e))
-    alive = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right") if len(sizes) else []
+    alpha, scale = np.empty_like(e), np.ones(words)
     for i, n in enumerate(alive):
-        at = starts[:n] + i
-        a = e[at] if i == 0 else e[at] * (alpha[at - 1] @ t)
-        z = a.sum(axis=1)
-        alpha[at], scale[at] = a / z[:, None], z
+        here = slice(cuts[i], cuts[i] + n)
+        a = e[:, here] if i == 0 else e[:, here] * (t.T @ alpha[:, cuts[i - 1] : cuts[i - 1] + n])
+        z = a.sum(axis=0)
+        alpha[:, here], scale[here] = a / z, z
     beta = np.ones_like(e)
     pairs = np.zeros((k, k))
+    e /= scale
     for i in range(len(alive) - 1, 0, -1):
-        at = starts[: alive[i]] + i
-        weighted = e[at] * beta[at] / scale[at][:, None]
-        beta[at - 1] = weighted @ t.T
-        pairs += alpha[at - 1].T @ weighted
-    post = alpha * beta
-    post /= post.sum(axis=1, keepdims=True)
+        here, before = slice(cuts[i], cuts[i + 1]), slice(cuts[i - 1], cuts[i - 1] + alive[i])
+        weighted = e[:, here] * beta[:, here]
+        beta[:, before] = t @ weighted
+        pairs += alpha[:, before] @ weighted.T
+    alpha *= beta
+    alpha /= alpha.sum(axis=0)
+    post = np.empty((words, k))
+    post[at] = alpha.T
     return post, pairs * t, float(np.log(scale).sum() + top.sum())
 
 
 class Rows:
-    """Weight rows by feature; a word's scores are their sum."""
-
-    def __init__(self, index: dict[str, int], weights: np.ndarray):
-        self.index, self.weights = index, weights
+    """Weight rows by feature key, ascending; a word's scores are their sum."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+        self.keys, self.weights = keys, weights
+        # first row of each bucket of keys with the same leading bits; four buckets a key
+        self.shift = 64 - max(1, int(4 * len(keys)).bit_length())
+        self.first = np.searchsorted(keys, np.arange(1 << 64 - self.shift, dtype=np.uint64) << U(self.shift)).astype(np.int32)
+        self.ending = np.append(keys, U((1 << 64) - 1))
+
+    def __reduce__(self):
+        return Rows, (self.keys, self.weights)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The rows of keys, -1 where there is none."""
+        at = self.first[keys >> U(self.shift)]
+        late = np.flatnonzero(self.ending[at] < keys)
+        while len(late):
+            at[late] += 1
+            late = late[self.ending[at[late]] < keys[late]]
+        return np.where((self.ending[at] == keys) & (at < len(self.keys)), at, -1)
 
     def ids(self, lows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all words' known features, and how many each has (one at least)."""
-        get = self.index.get
-        found = [[i for f in features(low) if (i := get(f)) is not None] for low in lows]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum())), sizes
+        keys, sizes = feature_keys(lows)
+        found = self.find(keys)
+        known = found >= 0
+        return found[known], np.add.reduceat(known, np.cumsum(sizes) - sizes, dtype=np.int64) if len(sizes) else sizes
+
+    def case(self) -> np.ndarray:
+        """The rows of a lower and an upper first letter."""
+        return self.find(_CASE)
 
     def scores(self, lows: list[str]) -> np.ndarray:
-        ids, sizes = self.ids(lows)
-        return np.add.reduceat(self.weights[ids], np.cumsum(sizes) - sizes, axis=0)
+        out = np.zeros((len(lows), self.weights.shape[1]), dtype=self.weights.dtype)
+        ends = np.cumsum(np.fromiter(map(len, lows), dtype=np.int64, count=len(lows)))
+        a = 0
+        while a < len(lows):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _AT_ONCE, side="right")))
+            ids, sizes = self.ids(lows[a:b])
+            out[a:b] = np.add.reduceat(self.weights[ids], np.cumsum(sizes) - sizes, axis=0)
+            a = b
+        return out
+
+
+_CASE = np.array([key("case-"), key("case+")])
 
 
 class Tagger:
     """A trained field; remembers the scores of words it has met (bounded)."""
 
-    def __init__(self, languages: list[str], rows: Rows, transitions: np.ndarray, remember: int = 250_000):
+    def __init__(self, languages: list[str], rows: Rows, transitions: np.ndarray, remember: int = 50_000):
         self.languages, self.rows, self.transitions, self.remember = languages, rows, transitions, remember
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}  # surface -> row of scores
-        self.lows: dict[str, int] = {}  # folded -> row of base
         self.scores = np.zeros((self.remember, len(self.languages)), dtype=np.float32)
-        self.base = np.zeros((self.remember, len(self.languages)), dtype=np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         distinct = set(words)
-        new = distinct - self.known.keys()
+        new = distinct.difference(self.known)
         if len(self.known) + len(new) > self.remember:
             self.remember = max(self.remember, len(distinct))
             self.clear()
@@ -119,15 +193,12 @@ class Tagger:
         if new:
             new = list(new)
             lows = list(map(core, new))
-            fresh = list(set(lows) - self.lows.keys())
-            if fresh:
-                at = len(self.lows)
-                self.base[at : at + len(fresh)] = self.rows.scores(fresh)
-                self.lows.update(zip(fresh, range(at, at + len(fresh))))
+            folded = {low: i for i, low in enumerate(dict.fromkeys(lows))}
+            base = self.rows.scores(list(folded))
             at = len(self.known)
             upper = np.fromiter((w[:1].isupper() for w in new), dtype=np.int64, count=len(new))
-            case = self.rows.weights[[self.rows.index["case-"], self.rows.index["case+"]]]
-            self.scores[at : at + len(new)] = self.base[np.fromiter(map(self.lows.__getitem__, lows), dtype=np.int64, count=len(lows))] + case[upper]
+            case = self.rows.weights[self.rows.case()]
+            self.scores[at : at + len(new)] = base[np.fromiter(map(folded.__getitem__, lows), dtype=np.int64, count=len(lows))] + case[upper]
             self.known.update(zip(new, range(at, at + len(new))))
         return self.scores[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))]
 
@@ -165,9 +236,8 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, chain
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
     transitions = np.zeros((k, k))
-    index = {"": 0, "case-": 1, "case+": 2}
     if not k:
-        return [], Rows(index, np.zeros((3, 0))), transitions
+        return [], Rows(np.sort(np.append(_CASE, U(0))), np.zeros((3, 0))), transitions
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     labelled = []
@@ -175,10 +245,8 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, chain
         for s in sentences(text):
             labelled.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in s]), np.full(len(s), languages.index(lang))))
     lows = list(map(core, vocabulary))
-    for low in sorted(set(lows)):
-        for f in features(low):
-            index.setdefault(f, len(index))
-    rows_ = Rows(index, np.zeros((len(index), k)))
+    keys = np.unique(np.concatenate([_CASE, [U(0)], feature_keys(sorted(set(lows)))[0]]))
+    rows_ = Rows(keys, np.zeros((len(keys), k)))
     weights = rows_.weights
     for i in range(0, len(labelled) - 1, 4):  # code-switched chains
         j = int(rng.integers(len(labelled)))
@@ -187,7 +255,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, chain
         return languages, rows_, transitions
     flat, sizes = rows_.ids(lows)
     ends = np.cumsum(sizes)
-    case = np.fromiter((index["case+"] if w[:1].isupper() else index["case-"] for w in vocabulary), dtype=np.int64, count=len(vocabulary))
+    case = rows_.case()[np.fromiter((w[:1].isupper() for w in vocabulary), dtype=np.int64, count=len(vocabulary))]
     flat, sizes = np.insert(flat, ends, case), sizes + 1  # each word's case stands after its features
     cuts = np.cumsum(sizes) - sizes
     g2, t2 = np.full_like(weights, 1e-6), np.full_like(transitions, 1e-6)
@@ -242,20 +310,23 @@ def fit(docs: DataFrame, *, per_language: int = 150, epochs: int = 4) -> tuple[l
     return train(labelled_sample(docs, allowed, per_language), epochs)
 
 
+def tagged(batches: Iterator[pa.RecordBatch], load: Callable[[], tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches with the language and score of each row's text; load gives the model."""
+    take_over(None)  # what another operator left in the worker goes before the model comes
+    tagger = Tagger(*load())
+    for part in text_slices(batches, limit=1 << 20, cache=tagger):
+        found = tagger.predict(part.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=names)
+    tagger.clear()
+
+
 def identify(docs: DataFrame, model: tuple[list[str], Rows, np.ndarray], *, label: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of docs, and the language and score of each row's text: one pass, nothing is shuffled."""
     languages, rows, transitions = model
-    shipped = docs.sparkSession.sparkContext.broadcast((languages, Rows(rows.index, rows.weights.astype(np.float32)), transitions))  # bounded by the sample
+    shipped = docs.sparkSession.sparkContext.broadcast((languages, Rows(rows.keys, rows.weights.astype(np.float32)), transitions))  # bounded by the sample
     schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(*shipped.value)
-        for part in text_slices(batches, limit=1 << 20, cache=tagger):
-            found = tagger.predict(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=schema.names)
-        tagger.clear()
-
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: tagged(batches, lambda: shipped.value, schema.names), schema)
 
 
 def language_id(docs: DataFrame, *, per_language: int = 150, epochs: int = 4) -> DataFrame:

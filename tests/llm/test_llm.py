@@ -456,6 +456,43 @@ def test_language_code_switching():
     assert [tagger.languages[i] for i in tagger.tag([text])[0].argmax(axis=1)] == ["en"] * 6 + ["fr"] * 6
 
 
+def test_language_feature_keys():
+    """Keys made from sums over all characters are those of the features as strings."""
+    lows = ["", "a", "ab", "abc", "abcd", "the", "stra\u00dfe", "\ud800x", "\U0001d4b3yz", "x" * 3000]
+    keys, sizes = langid.feature_keys(lows)
+    want = []
+    for w in lows:
+        n = len(w)
+        ends = [c + x for c, part in (("p", lambda i: w[:i]), ("s", lambda i: w[n - i :])) for x in map(part, range(1, min(4, n) + 1))]
+        want.append(["", "w" + w, *ends, *(w[i : i + 2] for i in range(n - 1)), *(w[i : i + 3] for i in range(n - 2))])
+    assert sizes.tolist() == list(map(len, want)) and keys.tolist() == [int(langid.key(f)) for found in want for f in found]
+    rows = langid.Rows(np.unique(keys), np.arange(2.0 * len(np.unique(keys))).reshape(-1, 2))
+    assert (rows.keys[rows.find(keys)] == keys).all() and rows.find(np.array([langid.key("unseen"), 2**64 - 1], dtype=np.uint64)).tolist() == [-1, -1]
+    assert np.allclose(rows.scores(lows), [rows.weights[rows.find(np.array([langid.key(f) for f in found]))].sum(axis=0) for found in want])
+
+
+def test_language_holds_little():
+    """What another operator left in a worker goes before the model comes; a tagger that meets many words keeps few."""
+    import pyarrow as pa
+
+    from quire.llm import common
+
+    left = {i: str(i) for i in range(10)}
+    common.take_over(left)
+    model = langid.train([("the cat sat. on the mat.", "en"), ("le chat dort. sur la table.", "fr")], epochs=1)
+
+    def load():
+        assert not left and common._HELD[0] is None
+        return model
+
+    batch = pa.RecordBatch.from_pydict({"text": ["the cat", None, "la table"]})
+    assert sum(b.num_rows for b in langid.tagged(iter([batch]), load, ["text", "lang", "score"])) == 3
+    tagger = langid.Tagger(*model)
+    for at in range(0, 300_000, 30_000):
+        tagger.predict([" ".join(f"w{i}" for i in range(at, at + 30_000))])
+        assert len(tagger.known) <= len(tagger.scores) <= 60_000
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
