@@ -85,7 +85,8 @@ def take_over(cache) -> None:
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, cache=None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of text (one row at least).
 
-    cache: what this operator remembers in the worker process; what another one left there is cleared.
+    cache: what this operator remembers while a task lasts. Its entries go at the task's end (``forget``, or else ``clear``):
+    executors keep more workers than they have cores, and hand them out in turn.
     """
     take_over(cache)
     for batch in batches:
@@ -99,6 +100,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    if cache is not None:
+        getattr(cache, "forget", cache.clear)()
     release()
 
 

@@ -317,7 +317,6 @@ def tagged(batches: Iterator[pa.RecordBatch], load: Callable[[], tuple], names:
     for part in text_slices(batches, limit=1 << 20, cache=tagger):
         found = tagger.predict(part.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=names)
-    tagger.clear()
 
 
 def identify(docs: DataFrame, model: tuple[list[str], Rows, np.ndarray], *, label: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U, bounded, materialize, mix, pack_sorted, partitions, squeeze, text_slices, unpack_sorted, unsqueeze
+from quire.llm.common import U, bounded, materialize, mix, pack_sorted, partitions, release, squeeze, text_slices, unpack_sorted, unsqueeze
 
 SPAN, GRAM = 100, 32
 SIDE = SPAN - GRAM  # bytes around the anchor that a string may have on either side
@@ -335,6 +335,7 @@ def verdicts(table: DataFrame, buckets: int, hot: int) -> DataFrame:
         back = np.empty(len(keys), dtype=np.uint8)
         back[order] = verdict
         cut = np.split(back, np.cumsum([len(p) for p in parts])[:-1])
+        release()
         return pd.DataFrame({"block": pdf["block"].values, "bucket": pdf["bucket"].values, "verdicts": [squeeze(x.tobytes()) for x in cut]})
 
     asked = table.select("block", "doc_ids", "sizes", "data").mapInArrow(ask, "block long, bucket int, keys binary, contexts binary, ids binary, at binary")
@@ -372,6 +373,7 @@ def contexts_to_sort(table: DataFrame, told: DataFrame, parts: int) -> DataFrame
                         inner = hashlib.blake2b(before[:low] + b"|" + after[: SIDE - high], digest_size=8, key=keys[i].tobytes()).digest()
                         own = int.from_bytes(inner, "little", signed=True)
                         rows.append((own % parts, own, low, high, *same, before[:high], after[: SIDE - low]))
+        release()
         return pd.DataFrame(rows, columns=["part", "core", "low", "high", "block", "doc", "doc_id", "at", "before", "after"])
 
     return table.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, _TO_SORT)
@@ -390,6 +392,7 @@ def sorted_ranges(waiting: DataFrame) -> DataFrame:
             hit = np.flatnonzero(flags.any(axis=1))
             for i, found in zip(hit.tolist(), ranges_of(flags[hit], own["at"].values[hit])):
                 rows += [(int(own["block"].iat[i]), int(own["doc"].iat[i]), a, b) for a, b in found]
+        release()
         return pd.DataFrame(rows, columns=["block", "doc", "a", "b"]).astype({"block": "int64", "doc": "int32", "a": "int64", "b": "int64"})
 
     return waiting.groupBy("part").applyInPandas(run, "block long, doc int, a long, b long")
@@ -430,6 +433,7 @@ def remove_repeats(docs: DataFrame, *, buckets: int | None = None, hot: int = HO
                 rows.append((doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in spans]))
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
         out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
+        release()
         return out
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"

@@ -72,14 +72,17 @@ class Encoder:
 
     @classmethod
     def shared(cls, vocabulary: str) -> "Encoder":
-        """One per Python worker: what it remembers outlives a task."""
+        """One per Python worker: the vocabulary outlives a task, the runs do not."""
         if vocabulary not in _ENCODERS:
             _ENCODERS[vocabulary] = cls(vocabulary)
         return _ENCODERS[vocabulary]
 
+    def forget(self) -> None:
+        self.known, self.tails = {}, {}
+
     def clear(self) -> None:
         """Forget everything, and leave the worker to another operator."""
-        self.known, self.tails = {}, {}
+        self.forget()
         for name in [k for k, e in _ENCODERS.items() if e is self]:
             del _ENCODERS[name]
 

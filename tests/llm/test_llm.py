@@ -493,6 +493,23 @@ def test_language_holds_little():
         assert len(tagger.known) <= len(tagger.scores) <= 60_000
 
 
+def test_workers_keep_no_words_between_tasks():
+    """What an operator remembers of texts goes at a task's end: idle workers of an executor hold none of it."""
+    import pyarrow as pa
+
+    from quire.llm import common
+
+    batch = pa.RecordBatch.from_pydict({"text": ["one two three", "four five"]})
+    encoder = tokens.Encoder.shared(tokens.VOCABULARY)
+    for part in common.text_slices(iter([batch]), cache=encoder):
+        assert encoder.encode(part.column("text").to_pylist()) and encoder.known
+    assert not encoder.known and not encoder.tails and tokens.Encoder.shared(tokens.VOCABULARY) is encoder
+    hashes = common.WordHashes()
+    for _ in common.text_slices(iter([batch]), cache=hashes):
+        assert len(hashes.of([b"one", b"two"])) == 2 and hashes
+    assert not hashes
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
