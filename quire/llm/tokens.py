@@ -40,7 +40,11 @@ from quire.llm.common import bounded, new_path, text_slices
 
 #: Default vocabulary, looked up where the public tokenizer files are installed; any path may be given.
 VOCABULARY = "byte_bpe_50k.json"
+#: text that is encoded at once, in bytes: its runs are met again while they are in the processor's cache
+ENCODED_BYTES = 2 << 20
 MARKS = string.punctuation
+#: white space besides the blank and the line feed
+OTHER_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -60,6 +64,8 @@ class Encoder:
         #: what makes a text one to be encoded whole: adjacent separators or an added token somewhere
         self.stops = ["  ", " \n", "\n ", "\n\n", *added]
         self.odd = regex.compile(r"\s\s")
+        #: a text without these is plain if its runs are not empty
+        self.rare = [*OTHER_BLANKS, *added]
         names = self.tokenizer.get_vocab()
         self.size = max(names.values()) + 1
         #: ids that can only stand where a run begins: those that begin with a blank, and the lone line feed
@@ -86,42 +92,38 @@ class Encoder:
         for name in [k for k, e in _ENCODERS.items() if e is self]:
             del _ENCODERS[name]
 
-    def runs(self, text: str) -> list[str] | None:
-        """The visible runs of a text, those after a line feed with it before them; None where it has to be encoded whole."""
+    def separated(self, text: str) -> bool:
+        """Whether a text is the concatenation of its visible runs, looked at as a whole."""
         if text[0].isspace() or text[-1].isspace() or any(x in text for x in self.stops):
-            return None
-        pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        if len(text.split()) != len(pieces) and self.odd.search(text):  # other white space too
-            return None
-        return pieces
+            return False
+        return len(text.split()) == text.count(" ") + text.count("\n") + 1 or not self.odd.search(text)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, runs: list[str]) -> None:
         for at in range(0, len(runs), 5000):
-            part = [r if r[0] == "\n" else " " + r for r in runs[at : at + 5000]]
+            part = runs[at : at + 5000]
             # a few runs a call: the library is slower on longer texts
-            found = self.tokenizer.encode_batch_fast(["".join(part[i : i + 24]) for i in range(0, len(part), 24)], add_special_tokens=False)
+            joined = [(" " + " ".join(part[i : i + 64])).replace(" \n", "\n") for i in range(0, len(part), 64)]
+            found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
             ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), dtype="<u4")
             starts = np.flatnonzero(self.begins[ids])
             if len(starts) == len(part):
                 raw, cuts = ids.tobytes(), [*(starts * 4).tolist(), 4 * len(ids)]
-                self.known.update(zip(runs[at : at + 5000], [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
             else:
-                self.known.update(zip(runs[at : at + 5000], self._whole(part)))
+                self.known.update(zip(part, self._whole([r if r[0] == "\n" else " " + r for r in part])))
 
     def _meet(self, new: set[str]) -> None:
         """Make runs known. A letter and a mark after it are never one pre-token: a run that ends in marks is its parts."""
-        whole, parted, stems = [], [], []
-        for run in new:
+        parted, stems = [], []
+        for run in [r for r in new if r[-1] in MARKS]:
             stem = run.rstrip(MARKS)
-            if stem != run and stem[-1:].isalpha():
+            if stem[-1:].isalpha():
                 parted.append(run)
                 stems.append(stem)
-            else:
-                whole.append(run)
-        self._learn(list(set(stems).difference(self.known).union(whole)))
+        self._learn(list(set(stems).difference(self.known).union(new.difference(parted))))
         tails = [run[len(stem) :] for run, stem in zip(parted, stems)]
         if len(self.tails) + len(set(tails)) > self.remember:
             self.tails = {}
@@ -137,12 +139,17 @@ class Encoder:
         odd = []
         for i, text in enumerate(texts):
             if text:
-                pieces = self.runs(text)
-                if pieces is None:
-                    odd.append(i)
+                if not any(x in text for x in self.rare) or self.separated(text):
+                    # the visible runs, those after a line feed with it before them; one is put before the text
+                    runs[i] = ("\n" + text).replace("\n", " \n").split(" ")[1:]
                 else:
-                    runs[i] = pieces
+                    odd.append(i)
         distinct = set().union(*runs.values())
+        if "" in distinct or "\n" in distinct:  # adjacent separators, or one at an end, in some of the texts
+            odd += [i for i in runs if not self.separated(texts[i])]
+            whole = set(odd)
+            runs = {i: pieces for i, pieces in runs.items() if i not in whole}
+            distinct = set().union(*runs.values())
         new = distinct.difference(self.known)
         if len(self.known) + len(new) > self.remember:
             self.known = {}
@@ -254,7 +261,7 @@ def write_token_files(docs: DataFrame, folder: str, *, vocabulary: str = VOCABUL
         uri = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         shard, n, first = None, 0, None
         end = np.array([end_id], dtype="<u4")
-        for part in text_slices(batches, cache=encoder):
+        for part in text_slices(batches, limit=ENCODED_BYTES, cache=encoder):
             if shard is None:
                 shard, first = ShardWriter(uri, length, rows, kind), part.column("doc_id")[0].as_py()
             ids = encoder.encode(part.column("text").to_pylist())

@@ -648,3 +648,16 @@ def test_pipeline_keeps_rows_with_null_or_repeated_ids(spark):
     assert sum(BASE in r.text for r in cut) == 1 and Counter(r.doc_id for r in cut) == Counter({None: 3, 1: 2, 2: 1})
     clean = stages["benchmark decontamination"](spark, more, SF).collect()
     assert Counter((r.doc_id, r.text) for r in clean) == Counter((r.doc_id, r.text) for r in more.collect() if r.text != item)
+
+
+def test_encoder_scans_odd_texts_only(monkeypatch):
+    """Texts of single separators are split once and not scanned for adjacent ones; the rest stays the library's."""
+    t, e, looked = tokenizer(), tokens.Encoder(), []
+    look = tokens.Encoder.separated
+    monkeypatch.setattr(tokens.Encoder, "separated", lambda self, text: looked.append(text) or look(self, text))
+    ids = lambda texts: [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    plain = ["a b\nc d.", "\x85", "é", "x\x00y z", "'s it's"]
+    assert e.encode(plain) == ids(plain) and looked == ["\x85"]
+    texts = [*plain, "a  b", "a \nb", "a\n b", "a\n\nb", " a", "a ", "\na", "a\n", "a \tb", "a\tb c", "a b", "q　 r", "\x1cz", "z\x1fy", "<|endoftext|>"]
+    assert e.encode(texts) == ids(texts)
+    assert all(e.encode([x]) == ids([x]) for x in texts)
