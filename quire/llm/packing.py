@@ -18,8 +18,9 @@ so that the first piece may be short; repeated rows are packed as separate docum
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.common import bounded, materialize, text_slices
-from quire.llm.tokens import VOCABULARY, Encoder
+from quire.llm.tokens import ENCODED_BYTES, VOCABULARY, Encoder
 
 
 def knapsack(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +161,16 @@ def places(groups: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "offset"), np.array(rows or np.zeros((0, 4)), dtype=np.int64).reshape(-1, 4).T))
 
 
-def encode_pieces(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian uint32): documents with their end id, cut to sequences."""
+#: of a row that is to be packed: its task, and its rank among the task's rows of its length
+TASK, RANK = "__quire_task", "__quire_rank"
+_PIECES = "doc_id long, piece int, start long, length long, ids binary"
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
+def _encoding(vocabulary: str, end_id: int, capacity: int) -> Batches:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.shared(vocabulary), np.array([end_id], dtype="<u4").tobytes()
-        for part in text_slices(batches, cache=encoder):
+        for part in text_slices(batches, limit=ENCODED_BYTES, cache=encoder):
             rows = []
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                 ids += end
@@ -174,7 +179,28 @@ def encode_pieces(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int
                 rows += [(doc_id, i, a, b - a, ids[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary")
+    return encode
+
+
+def _told(with_ids: bool) -> Batches:
+    """Pieces with their crc32, without ids where these aren't asked for."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crcs = pa.array(map(zlib.crc32, batch.column("ids").to_pylist()), pa.int64())
+            columns = dict(zip(batch.schema.names, batch.columns)) | {"ids_crc32": crcs}
+            yield pa.RecordBatch.from_pydict(columns if with_ids else {k: v for k, v in columns.items() if k != "ids"})
+
+    return tell
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def encode_pieces(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+    """doc_id, piece, start, length, ids (little-endian uint32): documents with their end id, cut to sequences."""
+    return _texts(docs).mapInArrow(_encoding(vocabulary, end_id, capacity), _PIECES)
 
 
 def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 40) -> DataFrame:
@@ -182,11 +208,14 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 40) -> DataFr
 
     ``pieces`` is written once to the shared folder, with the rank of each row among its task's rows of that length.
     """
-    task, rank = "__quire_task", "__quire_rank"
+    return _packed(pieces.mapInArrow(_numbering, _numbered(pieces.schema)), capacity, rounds)
+
+
+def _packed(numbered: DataFrame, capacity: int, rounds: int) -> DataFrame:
     # neither the rows' order nor the tasks' need be the same in a rerun: ranks are read from what was written
-    ranked = materialize(_ranked(pieces, task, rank), "pieces")
-    counts = ranked.groupBy("length", task).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy(task).rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = materialize(numbered, "pieces")
+    counts = ranked.groupBy("length", TASK).agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy(TASK).rowsBetween(Window.unboundedPreceding, -1)))
     before = materialize(before.withColumn("before", F.coalesce("before", F.lit(0))), "piece-counts")
     histogram = np.zeros(capacity, dtype=np.int64)
     for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows
@@ -196,16 +225,16 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 40) -> DataFr
     groups, bound = plan(histogram, rounds)
     table = places(groups)
     total = sum(n for _, n in groups)
-    columns = [c for c in pieces.columns]
+    columns = [c for c in ranked.columns if c not in (TASK, RANK)]
     kinds = ranked.select(*columns).schema
-    joined = ranked.join(before.select("length", task, "before"), ["length", task])
-    joined = joined.select(*columns, (F.col("before") + F.col(rank)).alias(rank))
+    joined = ranked.join(before.select("length", TASK, "before"), ["length", TASK])
+    joined = joined.select(*columns, (F.col("before") + F.col(RANK)).alias(RANK))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = table["length"] << 40 | table["rank"]
         for batch in batches:
             length = batch.column("length").to_numpy()
-            ranks = batch.column(rank).to_numpy()
+            ranks = batch.column(RANK).to_numpy()
             sequence, offset = total + ranks, np.zeros(len(length), dtype=np.int64)
             short = length < capacity
             if short.any():
@@ -220,31 +249,32 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, rounds: int = 40) -> DataFr
     return out
 
 
-def _ranked(pieces: DataFrame, task: str, rank: str) -> DataFrame:
-    columns = list(pieces.columns)
+def _numbered(pieces: T.StructType) -> T.StructType:
+    return T.StructType([*pieces.fields, T.StructField(TASK, T.IntegerType()), T.StructField(RANK, T.LongType())])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        seen: dict[int, int] = defaultdict(int)
-        me = TaskContext.get().partitionId()
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            ranks = np.empty(len(length), dtype=np.int64)
-            order = np.argsort(length, kind="stable")
-            values, first, n = np.unique(length[order], return_index=True, return_counts=True)
-            for v, f, k in zip(values.tolist(), first.tolist(), n.tolist()):
-                ranks[order[f : f + k]] = np.arange(seen[v], seen[v] + k)
-                seen[v] += k
-            tasks = np.full(len(length), me, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(tasks), pa.array(ranks)], names=[*columns, task, rank])
+def _numbering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
 
-    return pieces.mapInArrow(number, T.StructType([*pieces.schema.fields, T.StructField(task, T.IntegerType()), T.StructField(rank, T.LongType())]))
+    seen: dict[int, int] = defaultdict(int)
+    me = TaskContext.get().partitionId()
+    for batch in batches:
+        length = batch.column("length").to_numpy()
+        ranks = np.empty(len(length), dtype=np.int64)
+        order = np.argsort(length, kind="stable")
+        values, first, n = np.unique(length[order], return_index=True, return_counts=True)
+        for v, f, k in zip(values.tolist(), first.tolist(), n.tolist()):
+            ranks[order[f : f + k]] = np.arange(seen[v], seen[v] + k)
+            seen[v] += k
+        tasks = np.full(len(length), me, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tasks), pa.array(ranks)], names=[*batch.schema.names, TASK, RANK])
 
 
 def pack_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY, end_id: int = 2, capacity: int = 1024, rounds: int = 40, with_ids: bool = True) -> DataFrame:
     """Pieces of the documents with their crc32, place and (with_ids) ids."""
     bounded(docs.sparkSession)
-    pieces = encode_pieces(docs, vocabulary=vocabulary, end_id=end_id, capacity=capacity)
-    pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
-    return pack(pieces if with_ids else pieces.drop("ids"), capacity=capacity, rounds=rounds)
+    encode, tell = _encoding(vocabulary, end_id, capacity), _told(with_ids)
+    kinds = T.StructType.fromDDL(_PIECES + ", ids_crc32 long")
+    kinds = T.StructType([f for f in kinds if with_ids or f.name != "ids"])
+    # one step for all three: each Python step of a task is a worker of its own, with its memory, and ids would travel twice
+    return _packed(_texts(docs).mapInArrow(lambda batches: _numbering(tell(encode(batches))), _numbered(kinds)), capacity, rounds)

@@ -75,7 +75,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     left, right = np.maximum(at - SIDE, 0), np.minimum(at + SPAN, len(data))
     inverse = _powers(len(data) + 1, inverse=True)
     context = mix((sums[right] - sums[left]) * inverse[left]) ^ mix((at - left).astype(U) * U(1000) + (right - at).astype(U))
-    return at, h[at], context
+    return at, mix(h[at]), context  # anchors have the least hashes around: mixed again, their keys spread over all buckets
 
 
 _POWERS: dict[bool, np.ndarray] = {}
@@ -402,7 +402,7 @@ def remove_repeats(docs: DataFrame, *, buckets: int | None = None, hot: int = HO
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), spans: a row for each row of docs."""
     bounded(docs.sparkSession)
     table = blocks(docs)
-    buckets = buckets or max(2 * partitions(docs), table.count() // 2)  # a bucket does not grow with the corpus
+    buckets = buckets or max(partitions(docs), table.count() // 2)  # a bucket does not grow with the corpus
     told = materialize(verdicts(table, buckets, hot), "verdicts")
     waiting = contexts_to_sort(table, told, 8 * partitions(docs))
     ranges = materialize(sorted_ranges(waiting), "ranges")
@@ -447,4 +447,5 @@ def as_text(kept):
     def decode(data: pd.Series) -> pd.Series:
         return data.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
 
-    return decode(kept)
+    # a filter on the text would be given a second evaluation, and each task a second worker, if this could be repeated
+    return decode.asNondeterministic()(kept)

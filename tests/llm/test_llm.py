@@ -650,6 +650,27 @@ def test_pipeline_keeps_rows_with_null_or_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in clean) == Counter((r.doc_id, r.text) for r in more.collect() if r.text != item)
 
 
+def test_anchor_keys_spread_over_buckets():
+    """Anchors are the least hashes of their surroundings; their keys must not all fall to the first buckets."""
+    text = np.random.default_rng(0).integers(0, 256, 1 << 20, dtype=np.uint8)
+    _, keys, _ = suffixes.anchors(text)
+    shares = np.bincount((keys >> np.uint64(58)).astype(np.int64), minlength=64)
+    assert shares.max() < 2 * shares.mean() and shares.min() > shares.mean() / 2
+
+
+def test_packing_is_one_python_step(spark, monkeypatch):
+    """Encoding, crc32 and ranks share a worker; the second one a task had kept its memory for all later stages."""
+    written, write = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, label: written.append((label, df._jdf.queryExecution().executedPlan().toString())) or write(df, label))
+    for with_ids in (True, False):
+        rows = packing.pack_documents(odd(spark), with_ids=with_ids).collect()
+        assert ("ids" in rows[0]) == with_ids
+        assert not with_ids or all(r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length for r in rows)
+    assert [plan.count("MapInArrow") for label, plan in written if label == "pieces"] == [1, 1]
+    alone = packing.pack(packing.encode_pieces(odd(spark))).collect()
+    assert sorted((r.doc_id or -1, r.piece, r.length) for r in alone) == sorted((r.doc_id or -1, r.piece, r.length) for r in rows)
+
+
 def test_encoder_scans_odd_texts_only(monkeypatch):
     """Texts of single separators are split once and not scanned for adjacent ones; the rest stays the library's."""
     t, e, looked = tokenizer(), tokens.Encoder(), []
@@ -661,3 +682,9 @@ def test_encoder_scans_odd_texts_only(monkeypatch):
     texts = [*plain, "a  b", "a \nb", "a\n b", "a\n\nb", " a", "a ", "\na", "a\n", "a \tb", "a\tb c", "a b", "q　 r", "\x1cz", "z\x1fy", "<|endoftext|>"]
     assert e.encode(texts) == ids(texts)
     assert all(e.encode([x]) == ids([x]) for x in texts)
+
+
+def test_cut_texts_are_decoded_once(spark):
+    """The filter on what is left reads the decoded text; decoding twice took two workers a task."""
+    plan = corpus_pipeline.cut_repeats(spark, odd(spark).where("doc_id < 14"), SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan")[0].count("ArrowEvalPython") == 1
